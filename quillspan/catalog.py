@@ -1,0 +1,10 @@
+"""The registered queries of the core operators and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def flagship(spark, folder):
+    raise NotImplementedError
