@@ -1,11 +1,13 @@
 """Exact similarity join of texts: a blocked sparse product of the document by n-gram incidence matrix.
 
 Rows of the incidence matrix are texts, columns are shingles, ordered by a frequency sketch with the rarest first (any
-fixed order keeps the result exact, a good one keeps it cheap). Only a row's leading columns can decide a pair, so the
-product runs over those; overlap counts are accumulated per pair and a pair is dropped as soon as the counts and the two
-sizes bound its similarity below the threshold. What is left is checked on the whole sets.
+fixed order keeps the result exact, a good one keeps it cheap). The product runs in blocks of columns. Two rows of
+similarity t or more miss at most n - ceil(t n) of each other's columns, so among a row's leading columns, taken until
+they exceed that bound by the number of blocks they use, two common ones share a block: the product need only run over
+pairs of columns of one block, which are far rarer than single columns. Overlaps of the pairs that meet are counted on
+the whole rows, and pairs under the bound that their sizes set are dropped.
 
-Texts with the same shingle set form a class; the product runs over classes, so copies never multiply.
+Texts with the same shingle set form a class; copies never multiply.
 """
 
 from __future__ import annotations
@@ -19,83 +21,144 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.shingles import lists, sets_of
-from quillspan.plans.folds import fold
+from quillspan.llm.shingles import Sets, sets_of
+from quillspan.plans.folds import fold, merged, segments
 from quillspan.plans.spool import spool
 
 SKETCH = 1 << 20
 BITMAP_BYTES = 1 << 23
 
 
-def frequency_sketch(texts: DataFrame, width: int, min_tokens: int) -> np.ndarray:
-    """Counts of texts by hashed shingle, in SKETCH buckets. `texts` has the text as its only column."""
-
-    def update(acc: np.ndarray, batch: pa.RecordBatch) -> None:
-        for _, _, sets in sets_of(iter([batch]), width, min_tokens, 0):
-            if sets:
-                np.add.at(acc, (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-
-    return fold(texts, SKETCH, "int64", update, np.add)
+def add_counts(acc: np.ndarray, sets: Sets) -> None:
+    np.add.at(acc, (sets.values & np.uint64(SKETCH - 1)).astype(np.int64), 1)
 
 
-def leading(n: int, threshold: float) -> int:
-    """How many leading columns of a row of n can decide a pair of at least this Jaccard similarity."""
-    return n - math.ceil(threshold * n - 1e-9) + 1
+#: Smallest row size of each scheme of blocks; the number of blocks follows from it. A pair meets in the scheme of its
+#: smaller row, so a row takes part in each scheme whose pairs it can be in.
+SCHEMES = (1, 18, 50, 150, 450, 1350, 4050, 12150)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def classes(rows: DataFrame, threshold: float, width: int, min_tokens: int, sketch: np.ndarray) -> DataFrame:
-    """rows(key, text, *order) -> (key, *order, cid, sig, n, head): the class of each text and its leading columns.
+def block_keys(sets: Sets, picked: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row of each key): of the picked rows, hashed pairs of leading columns of one block, for each scheme.
 
-    cid and sig are two independent 64-bit hashes of the shingle set; head lists the leading columns in sketch order.
+    A row's columns are ordered by count, then by hash.
+    """
+    n = sets.sizes
+    need = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    keys, rows = [], []
+    for j, low in enumerate(SCHEMES):
+        high = SCHEMES[j + 1] / threshold + 1 if j + 1 < len(SCHEMES) else math.inf
+        mine = picked & (n >= low) & (n < high)
+        if not mine.any():
+            continue
+        doc = sets.owners()
+        inside = mine[doc]
+        doc, h = doc[inside], sets.values[inside]
+        order = np.lexsort((h, counts[(h & np.uint64(SKETCH - 1)).astype(np.int64)], doc))
+        doc, h = doc[order], h[order]
+        start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        begin = np.repeat(start, np.diff(np.append(start, len(doc))))
+        pos = np.arange(len(doc)) - begin
+        blocks = math.floor(threshold * low + 1e-9) - 1
+        if blocks < 1:  # too small for pairs: single columns
+            head = pos < need[doc]
+            keys.append(h[head] * _MIX ^ np.uint64(j))
+            rows.append(doc[head])
+            continue
+        block = (h >> np.uint64(21)) % np.uint64(blocks)
+        group = doc * blocks + block.astype(np.int64)
+        by = np.argsort(group, kind="stable")
+        again = np.ones(len(doc), dtype=bool)
+        again[by[np.concatenate([[True], group[by][1:] != group[by][:-1]])]] = False
+        # Up to which column the columns that aren't the first of their block number `need`.
+        upto = np.cumsum(again)
+        upto -= (upto[begin] - again[begin])
+        head = (upto - again) < need[doc]
+        by = by[head[by]]
+        cols, own = h[by], group[by]
+        step = 1
+        while step < len(cols):
+            same = own[step:] == own[:-step]
+            if not same.any():
+                break
+            pair = (cols[:-step][same] * _MIX) ^ (cols[step:][same] + np.uint64(j + 1))
+            pair *= _MIX
+            keys.append(pair ^ (pair >> np.uint64(32)))
+            rows.append(own[:-step][same] // blocks)
+            step += 1
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def class_of(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=1)
+
+
+def class_members(rows: DataFrame, width: int, min_tokens: int) -> tuple[DataFrame, np.ndarray]:
+    """rows(text, *kept) -> (members(*kept, cid, n), sketch), in one pass over the texts.
+
+    cid is the class of each text that takes part, a 64-bit hash of its shingle set; the sketch has the counts of texts
+    by hashed shingle.
     """
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32))
     kept = [f for f in rows.schema.fields if f.name != "text"]
     text_at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for batch, at, sets in sets_of(batches, width, min_tokens, text_at):
-            heads, cids, sigs, sizes = [], [], [], []
-            for s in sets:
-                n = len(s)
-                k = leading(n, threshold)
-                c = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                order = np.argsort(c, kind="stable")[:k]  # s is sorted, so ties go by hash
-                heads.append(s[order])
-                raw = s.tobytes()
-                cids.append(xxhash.xxh3_64_intdigest(raw, seed=1))
-                sigs.append(xxhash.xxh3_64_intdigest(raw, seed=2))
-                sizes.append(n)
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [taken.column(f.name) for f in kept]
-                + [pa.array(np.array(cids, np.uint64).view(np.int64)), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists(heads)],
-                names=[f.name for f in kept] + ["cid", "sig", "n", "head"],
-            )
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", cid bigint, sig bigint, n int, head array<bigint>"
-    return rows.mapInArrow(run, schema)
-
-
-def postings(reps: DataFrame, *extra: str) -> DataFrame:
-    """One row per leading column of each class: (h, cid, n, pos, *extra)."""
-    return reps.select("cid", "n", *extra, F.posexplode("head").alias("pos", "h"))
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float, condition) -> DataFrame:
-    """Accumulate overlap counts of two posting tables and drop pairs that the size-derived bounds exclude.
-
-    The matches counted for a pair are all of its common columns up to the last match (the order of columns is the same
-    on both sides), so the overlap is at most the count plus what either row has left after that match.
+        acc = np.zeros(SKETCH, np.int32)
+        for batch, sets in sets_of(batches, width, min_tokens, text_at):
+            add_counts(acc, sets)
+            taken = batch.take(pa.array(sets.at, pa.int64()))
+            none = [pa.nulls(len(sets), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            cids = np.array([class_of(sets[i]) for i in range(len(sets))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[taken.column(f.name) for f in kept], pa.array(cids), pa.array(sets.sizes, pa.int32()), *none], names=names)
+        for part in segments(acc):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(part.num_rows, t) for t in kinds], pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.int32()), *part.columns], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in kept]
+    names = [*[f.name for f in kept], "cid", "n", "seg", "salt", "part"]
+    out = spool(rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", cid bigint, n int, seg int, salt int, part binary"))
+    sketch = merged(out.where("seg is not null").select("seg", "salt", "part"), SKETCH, "int32", np.add)
+    return out.where("seg is null").drop("seg", "salt", "part"), sketch
+
+
+def block_postings(rows: DataFrame, sketch: np.ndarray, copied: np.ndarray, owners: np.ndarray, threshold: float, width: int, min_tokens: int) -> DataFrame:
+    """rows(key bigint, text) -> (h, cid, n): the keys of each class.
+
+    `copied` is a bitmap of the classes that may have copies, `owners` one of the keys that stand for such classes; a bit
+    set by chance only makes a class's rows come twice.
     """
+    context = rows.sparkSession.sparkContext
+    counted, bits, own = context.broadcast(sketch), context.broadcast(copied), context.broadcast(owners)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, copies, standing = counted.value, bits.value, own.value
+        for batch, sets in sets_of(batches, width, min_tokens, 1):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            cids = np.array([class_of(sets[i]) for i in range(len(sets))], np.uint64)
+            picked = ~has_bits(copies, cids) | has_bits(standing, ids[sets.at].astype(np.int64).view(np.uint64))
+            keys, of = block_keys(sets, picked, counts, threshold)
+            for i in range(0, len(keys), 200_000):
+                part = of[i : i + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000].view(np.int64)), pa.array(cids[part].view(np.int64)), pa.array(sets.sizes[part].astype(np.int32))], names=["h", "cid", "n"])
+
+    return rows.mapInArrow(run, "h bigint, cid bigint, n int")
+
+
+def meeting_pairs(left: DataFrame, right: DataFrame, threshold: float, condition) -> DataFrame:
+    """(cid_a, cid_b, n_a, n_b): distinct pairs of two posting tables that meet in a key and whose sizes allow the threshold."""
     a = left.select("h", *[F.col(c).alias(c + "_a") for c in left.columns if c != "h"])
     b = right.select("h", *[F.col(c).alias(c + "_b") for c in right.columns if c != "h"])
-    t = threshold
-    met = a.join(b, (a.h == b.h) & condition(a, b) & (a.n_a >= F.ceil(F.lit(t) * b.n_b - 1e-9)) & (b.n_b >= F.ceil(F.lit(t) * a.n_a - 1e-9)), "inner")
-    counted = met.groupBy("cid_a", "cid_b", "n_a", "n_b").agg(F.count("*").alias("met"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"))
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    return counted.where(F.col("met") + F.least(F.col("n_a") - F.col("pa"), F.col("n_b") - F.col("pb")) - 1 >= need).select("cid_a", "cid_b", "n_a", "n_b")
+    fits = (a.n_a >= F.ceil(F.lit(threshold) * b.n_b - 1e-9)) & (b.n_b >= F.ceil(F.lit(threshold) * a.n_a - 1e-9))
+    return a.join(b, (a.h == b.h) & fits & condition(a, b)).select("cid_a", "cid_b", "n_a", "n_b").distinct()
+
+
+def has_bits(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bit = values % np.uint64(BITMAP_BYTES * 8)
+    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def id_bitmap(ids: DataFrame) -> np.ndarray:
@@ -114,17 +177,15 @@ def whole_sets(texts: DataFrame, width: int, min_tokens: int, wanted: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = shared.value, set()
-        for _, _, sets in sets_of(batches, width, min_tokens, 0):
-            cids, out = [], []
-            for s in sets:
-                cid = xxhash.xxh3_64_intdigest(s.tobytes(), seed=1)
-                bit = cid % (BITMAP_BYTES * 8)
-                if bitmap[bit >> 3] >> (bit & 7) & 1 and cid not in seen:
+        for _, sets in sets_of(batches, width, min_tokens, 0):
+            cids = [class_of(sets[i]) for i in range(len(sets))]
+            picked = []
+            for i in np.flatnonzero(has_bits(bitmap, np.array(cids, np.uint64))).tolist():
+                if cids[i] not in seen:
                     if len(seen) < 100_000:
-                        seen.add(cid)
-                    cids.append(cid)
-                    out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(cids, np.uint64).view(np.int64)), lists(out)], names=["cid", "members"])
+                        seen.add(cids[i])
+                    picked.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([cids[i] for i in picked], np.uint64).view(np.int64)), sets.arrow(picked)], names=["cid", "members"])
 
     return texts.mapInArrow(run, "cid bigint, members array<bigint>").groupBy("cid").agg(F.first("members").alias("members"))
 
@@ -142,15 +203,14 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def similar_classes(rows: DataFrame, threshold: float, width: int, min_tokens: int) -> tuple[DataFrame, DataFrame]:
     """Self-join of rows(key, text): (members, links).
 
-    members(key, cid, sig) has a row for each text that takes part; links(cid_a, cid_b, n_a, n_b, similarity) one for
-    each pair of different classes at or above the threshold, cid_a < cid_b.
+    members(key, cid) has a row for each text that takes part; links(cid_a, cid_b, n_a, n_b, similarity) one for each
+    pair of different classes at or above the threshold, cid_a < cid_b.
     """
-    texts = rows.select("text")
-    sketch = frequency_sketch(texts, width, min_tokens)
-    all_rows = spool(classes(rows, threshold, width, min_tokens, sketch))
-    members = all_rows.select("key", "cid", "sig")
-    reps = all_rows.groupBy("cid", "sig", "n").agg(F.first("head").alias("head"))
-    heads = postings(reps)
-    pairs = spool(candidate_pairs(heads, heads, threshold, lambda a, b: a.cid_a < b.cid_b))
+    keyed = rows.select("key", "text", F.xxhash64("key").alias("kid"))
+    members, sketch = class_members(keyed, width, min_tokens)
+    copies = members.groupBy("cid").agg(F.min("kid").alias("kid"), F.count("*").alias("copies")).where("copies > 1")
+    copies = spool(copies)
+    keys = block_postings(keyed.select("kid", "text"), sketch, id_bitmap(copies.select("cid")), id_bitmap(copies.select("kid")), threshold, width, min_tokens)
+    pairs = spool(meeting_pairs(keys, keys, threshold, lambda a, b: a.cid_a < b.cid_b))
     wanted = id_bitmap(pairs.select(F.explode(F.array("cid_a", "cid_b"))))
-    return members, verified(pairs, whole_sets(texts, width, min_tokens, wanted), threshold)
+    return members.select("key", "cid"), verified(pairs, whole_sets(rows.select("text"), width, min_tokens, wanted), threshold)

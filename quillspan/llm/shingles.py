@@ -46,22 +46,76 @@ def shingle_set(text: str | None, width: int, min_tokens: int, hashes: TokenHash
     return np.unique(h)
 
 
-def lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    """An Arrow list<int64> column of the arrays."""
-    offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    values = np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+class Sets:
+    """The shingle sets of a batch, end to end: of the row at[i] they are values[offsets[i] : offsets[i + 1]], sorted."""
 
+    def __init__(self, at: list[int], values: np.ndarray, sizes: np.ndarray):
+        self.at, self.values, self.sizes = at, values, sizes
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
-def sets_of(batches: Iterator[pa.RecordBatch], width: int, min_tokens: int, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[np.ndarray]]]:
-    """For each batch the positions of the rows that have a set, and the sets."""
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.values[self.offsets[i] : self.offsets[i + 1]]
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.at)), self.sizes)
+
+    def arrow(self, picked: list[int]) -> pa.ListArray:
+        """An Arrow list<int64> column of the picked sets."""
+        offsets = np.concatenate([[0], np.cumsum(self.sizes[picked])]).astype(np.int32) if picked else np.zeros(1, np.int32)
+        values = np.concatenate([self[i] for i in picked]).view(np.int64) if picked else np.empty(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def shingle_sets(texts: list[str | None], width: int, min_tokens: int, hashes: TokenHashes) -> Sets:
+    """shingle_set of many texts at once."""
+    at, flat, counts = [], [], []
+    least = max(min_tokens, width)
+    for i, text in enumerate(texts):
+        if text:
+            tokens = TOKEN.findall(text.lower())
+            if len(tokens) >= least:
+                at.append(i)
+                flat += tokens
+                counts.append(len(tokens))
+    if not at:
+        return Sets([], np.empty(0, np.uint64), np.empty(0, np.int64))
+    t = np.array([hashes[x] for x in flat], dtype=np.uint64)
+    n = np.array(counts)
+    h = t[: len(t) - width + 1].copy()
+    for i in range(1, width):
+        h = (h * _A) ^ ((t[i : i + len(h)] + _B) * _C)
+        h ^= h >> np.uint64(29)
+    h *= _B
+    h ^= h >> np.uint64(32)
+    doc = np.repeat(np.arange(len(n)), n)[: len(h)]
+    inside = np.ones(len(h), dtype=bool)
+    ends = np.cumsum(n)[:-1]
+    for i in range(1, width):
+        inside[ends - i] = False
+    h, doc = h[inside], doc[inside]
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = h[new], doc[new]
+    return Sets(at, h, np.bincount(doc, minlength=len(n)))
+
+
+#: Texts are turned into sets in runs of about so many characters.
+RUN = 2_000_000
+
+
+def sets_of(batches: Iterator[pa.RecordBatch], width: int, min_tokens: int, text_at: int) -> Iterator[tuple[pa.RecordBatch, Sets]]:
+    """Batches in runs of about RUN characters, with the sets of their texts."""
     hashes = TokenHashes()
     for batch in batches:
-        rows, sets = [], []
-        for i, text in enumerate(batch.column(text_at).to_pylist()):
-            s = shingle_set(text, width, min_tokens, hashes)
-            if s is not None:
-                rows.append(i)
-                sets.append(s)
-        yield batch, rows, sets
+        texts = batch.column(text_at).to_pylist()
+        upto = np.cumsum([len(t) if t else 0 for t in texts])
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + RUN, side="right")))
+            yield batch.slice(begin, end - begin), shingle_sets(texts[begin:end], width, min_tokens, hashes)
+            begin = end
