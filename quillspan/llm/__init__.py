@@ -1,8 +1,8 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from quillspan.llm import near_copies
+from quillspan.llm import batch_linkage, near_copies, splitting, truncation
 
-MODULES = [near_copies]
+MODULES = [near_copies, splitting, batch_linkage, truncation]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -35,7 +35,7 @@ def add_counts(acc: np.ndarray, sets: Sets) -> None:
 
 #: Smallest row size of each scheme of blocks; the number of blocks follows from it. A pair meets in the scheme of its
 #: smaller row, so a row takes part in each scheme whose pairs it can be in.
-SCHEMES = (1, 18, 50, 150, 450, 1350, 4050, 12150)
+SCHEMES = (1, 18, 38, 180, 800, 3600, 16000)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -96,8 +96,20 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=1)
 
 
+#: 64-bit words of a row's parity bitmap.
+WORDS = 8
+
+
+def parity_bits(sets: Sets) -> pa.ListArray:
+    """Per row the parity of its columns by hashed bit: two bitmaps differ in at most as many bits as the rows in columns."""
+    width = WORDS * 64
+    bit = sets.owners() * width + ((sets.values >> np.uint64(40)) % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=len(sets) * width) & 1).astype(np.uint8)
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(odd).view(np.int64)), WORDS).cast(pa.list_(pa.int64()))
+
+
 def class_members(rows: DataFrame, width: int, min_tokens: int) -> tuple[DataFrame, np.ndarray]:
-    """rows(text, *kept) -> (members(*kept, cid, n), sketch), in one pass over the texts.
+    """rows(text, *kept) -> (members(*kept, cid, n, bits), sketch), in one pass over the texts.
 
     cid is the class of each text that takes part, a 64-bit hash of its shingle set; the sketch has the counts of texts
     by hashed shingle.
@@ -112,15 +124,15 @@ def class_members(rows: DataFrame, width: int, min_tokens: int) -> tuple[DataFra
             taken = batch.take(pa.array(sets.at, pa.int64()))
             none = [pa.nulls(len(sets), t) for t in (pa.int32(), pa.int32(), pa.binary())]
             cids = np.array([class_of(sets[i]) for i in range(len(sets))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[taken.column(f.name) for f in kept], pa.array(cids), pa.array(sets.sizes, pa.int32()), *none], names=names)
+            yield pa.RecordBatch.from_arrays([*[taken.column(f.name) for f in kept], pa.array(cids), pa.array(sets.sizes, pa.int32()), parity_bits(sets), *none], names=names)
         for part in segments(acc):
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(part.num_rows, t) for t in kinds], pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.int32()), *part.columns], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(part.num_rows, t) for t in kinds], pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.list_(pa.int64())), *part.columns], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in kept]
-    names = [*[f.name for f in kept], "cid", "n", "seg", "salt", "part"]
-    out = spool(rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", cid bigint, n int, seg int, salt int, part binary"))
+    names = [*[f.name for f in kept], "cid", "n", "bits", "seg", "salt", "part"]
+    out = spool(rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", cid bigint, n int, bits array<bigint>, seg int, salt int, part binary"))
     sketch = merged(out.where("seg is not null").select("seg", "salt", "part"), SKETCH, "int32", np.add)
     return out.where("seg is null").drop("seg", "salt", "part"), sketch
 
@@ -149,11 +161,21 @@ def block_postings(rows: DataFrame, sketch: np.ndarray, copied: np.ndarray, owne
 
 
 def meeting_pairs(left: DataFrame, right: DataFrame, threshold: float, condition) -> DataFrame:
-    """(cid_a, cid_b, n_a, n_b): distinct pairs of two posting tables that meet in a key and whose sizes allow the threshold."""
+    """(cid_a, cid_b): distinct pairs of two posting tables that meet in a key and whose sizes allow the threshold."""
     a = left.select("h", *[F.col(c).alias(c + "_a") for c in left.columns if c != "h"])
     b = right.select("h", *[F.col(c).alias(c + "_b") for c in right.columns if c != "h"])
     fits = (a.n_a >= F.ceil(F.lit(threshold) * b.n_b - 1e-9)) & (b.n_b >= F.ceil(F.lit(threshold) * a.n_a - 1e-9))
-    return a.join(b, (a.h == b.h) & fits & condition(a, b)).select("cid_a", "cid_b", "n_a", "n_b").distinct()
+    return a.join(b, (a.h == b.h) & fits & condition(a, b)).select("cid_a", "cid_b").distinct()
+
+
+def bounded(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (cid_a, cid_b, n_a, n_b) whose bitmaps differ in no more bits than their sizes allow columns to differ."""
+    one = members.groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    a = one.select(F.col("cid").alias("cid_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    b = one.select(F.col("cid").alias("cid_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(1, WORDS)), F.bit_count(F.col("bits_a")[0].bitwiseXOR(F.col("bits_b")[0])))
+    most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9
+    return pairs.join(a, "cid_a").join(b, "cid_b").where(apart <= most).drop("bits_a", "bits_b")
 
 
 def has_bits(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -211,6 +233,6 @@ def similar_classes(rows: DataFrame, threshold: float, width: int, min_tokens: i
     copies = members.groupBy("cid").agg(F.min("kid").alias("kid"), F.count("*").alias("copies")).where("copies > 1")
     copies = spool(copies)
     keys = block_postings(keyed.select("kid", "text"), sketch, id_bitmap(copies.select("cid")), id_bitmap(copies.select("kid")), threshold, width, min_tokens)
-    pairs = spool(meeting_pairs(keys, keys, threshold, lambda a, b: a.cid_a < b.cid_b))
+    pairs = spool(bounded(meeting_pairs(keys, keys, threshold, lambda a, b: a.cid_a < b.cid_b), members, threshold))
     wanted = id_bitmap(pairs.select(F.explode(F.array("cid_a", "cid_b"))))
     return members.select("key", "cid"), verified(pairs, whole_sets(rows.select("text"), width, min_tokens, wanted), threshold)
