@@ -26,17 +26,25 @@ DIMS = 16
 SEED = 20_111
 #: Rows that the upper kd-tree is fitted on at most, rows that a cell aims at, rows of a leaf of the tree within a cell.
 SAMPLE = 40_000
-CELL = 24_576
+CELL = 50_000
 LEAF = 256
 SURE = 0.9
+#: The same test for sending a query to another cell, over the dimensions in which it must leave its own.
+SENT = 0.7
 #: Queries taken at once, which bounds a task's memory.
 BLOCK = 8_192
 
 
 def chi_square_quantile(p: float, m: int) -> float:
-    """The p-quantile of the chi-square distribution of m (even) degrees of freedom, by bisection of its closed form."""
+    """The p-quantile of the chi-square distribution of m degrees of freedom, by bisection of its closed form."""
 
     def cdf(x: float) -> float:
+        if m % 2:
+            total, term = math.erf(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+            for i in range(1, m, 2):
+                total -= term
+                term *= x / (i + 2)
+            return total
         term, total = 1.0, 1.0
         for i in range(1, m // 2):
             term *= x / 2 / i
@@ -91,6 +99,15 @@ class Tree:
         return low, high
 
 
+def cells_left_for(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances of points to boxes, in how many dimensions they lie outside)."""
+    outside = np.zeros((len(q), len(low)), np.int64)
+    for d in range(q.shape[1]):
+        x = q[:, d : d + 1]
+        outside += (x < low[None, :, d]) | (x > high[None, :, d])
+    return box_distances(q, low, high), outside
+
+
 def box_distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distances of points to boxes."""
     out = np.zeros((len(q), len(low)), np.float32)
@@ -199,26 +216,26 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
     once: each copy gets the k smallest keys of its copies and of the found vectors' copies, so copies stay linear.
     """
     spark = rows.sparkSession
-    points = usable(rows, width).groupBy("key").agg(F.min("v").alias("v"))
-    grouped = points.withColumn("vid", F.xxhash64("v")).select("key", "vid", "v")
-    grouped = spool(grouped)
+    vectors = usable(rows, width).withColumn("vid", F.xxhash64("v"))
+    grouped = spool(vectors.groupBy("key").agg(F.min("vid").alias("vid")))
     # The k + 1 smallest keys of each vector's copies, first by salt so that no group of copies meets in one task.
     salted = grouped.select("vid", "key", (F.abs(F.xxhash64("key")) % 64).alias("salt"))
     some = salted.withColumn("r", F.row_number().over(Window.partitionBy("vid", "salt").orderBy("key"))).where(F.col("r") <= k + 1)
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy("key"))).where(F.col("r") <= k + 1)
     firsts = spool(some.select("vid", "key", "r"))
-    reps = grouped.join(firsts.where("r = 1").select("vid", "key"), ["vid", "key"]).select("vid", "v")
+    reps = vectors.groupBy("vid").agg(F.min("v").alias("v"))
     n = firsts.where("r = 1").count()
     if not n:
         return spark.createDataFrame([], "key string, other string, similarity double, place int")
     depth = max(0, math.ceil(math.log2(n / cell)))
     share = min(1.0, 1.2 * sample / n)
-    drawn = reps.where((F.abs(F.xxhash64("vid", F.lit(SEED))) % 1_000_000) < int(share * 1_000_000)).limit(sample).select("v").toPandas()
+    drawn = vectors.where((F.abs(F.xxhash64("vid", F.lit(SEED))) % 1_000_000) < int(share * 1_000_000)).limit(sample).select("v").toPandas()
     axes = directions(width)
     top = Tree(vectors_of(drawn["v"]) @ axes if len(drawn) else np.zeros((1, DIMS), np.float32), depth)
     low, high = top.regions(DIMS)
     shared = spark.sparkContext.broadcast((axes, top.depth, top.dim, top.value, low, high))
     factor = chi_square_quantile(SURE, DIMS)
+    sending = np.array([0.0, *(chi_square_quantile(SENT, m) for m in range(1, DIMS + 1))], np.float32)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         axes, deep, dim, value, _, _ = shared.value
@@ -228,7 +245,7 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
             if len(f):
                 yield f.assign(cell=t.place(vectors_of(f["v"]) @ axes))
 
-    homed = reps.mapInPandas(place, "vid bigint, v binary, cell int")
+    homed = spool(reps.mapInPandas(place, "vid bigint, v binary, cell int"))
 
     def local_tree(p: np.ndarray) -> tuple[Tree, tuple[np.ndarray, np.ndarray]]:
         t = Tree(p, max(0, math.ceil(math.log2(max(1, len(p)) / LEAF))))
@@ -241,7 +258,7 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
         return pd.DataFrame({"vid": ids[i], "other": names[best.pos[i, j]], "sim": best.sim[i, j].astype(np.float64)})
 
     def at_home(f: pd.DataFrame) -> pd.DataFrame:
-        """Each vector in its own cell; rows with a vector are those sent on: to the cell, with the bound so far."""
+        """Each vector in its own cell; rows with a cell are those sent on: to that cell, with the bound so far."""
         axes, _, _, _, low, high = shared.value
         f = f.sort_values("vid", ignore_index=True)
         ids, v = f["vid"].to_numpy(), vectors_of(f["v"])
@@ -252,16 +269,16 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
             s = slice(a, min(a + BLOCK, len(p)))
             best = Best(s.stop - a, k, least)
             search(p[s], v[s], rank[s], best, v, p, rank, t, boxes, factor)
-            out.append(hits(ids[s], best, ids).assign(v=None, cell=-1, bound=0.0))
-            reach = box_distances(p[s], low, high) <= factor * best.bound()[:, None]
+            out.append(hits(ids[s], best, ids).assign(cell=-1, bound=0.0))
+            far, outside = cells_left_for(p[s], low, high)
+            reach = far <= sending[outside] * best.bound()[:, None]
             reach[:, here] = False
             i, c = np.nonzero(reach)
-            raw = f["v"].to_numpy()[s]
-            out.append(pd.DataFrame({"vid": ids[s][i], "other": np.zeros(len(i), np.int64), "sim": 0.0, "v": raw[i], "cell": c, "bound": best.sim[i, -1].astype(np.float64)}))
-        return pd.concat(out, ignore_index=True)[["vid", "other", "sim", "v", "cell", "bound"]]
+            out.append(pd.DataFrame({"vid": ids[s][i], "other": np.zeros(len(i), np.int64), "sim": 0.0, "cell": c, "bound": best.sim[i, -1].astype(np.float64)}))
+        return pd.concat(out, ignore_index=True)[["vid", "other", "sim", "cell", "bound"]]
 
-    first = spool(homed.groupBy("cell").applyInPandas(at_home, "vid bigint, other bigint, sim double, v binary, cell int, bound double"))
-    sent = first.where("cell >= 0").select("vid", "v", "cell", "bound")
+    first = spool(homed.groupBy("cell").applyInPandas(at_home, "vid bigint, other bigint, sim double, cell int, bound double"))
+    sent = first.where("cell >= 0").select(F.col("vid").alias("qid"), F.col("cell").alias("to"), "bound").join(homed.select(F.col("vid").alias("qid"), F.col("v").alias("qv")), "qid")
 
     def visited(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"vid": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "sim": np.zeros(0)})
@@ -275,21 +292,21 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
         rank, out = np.arange(len(p)), [empty]
         for a in range(0, len(right), BLOCK):
             part = right.iloc[a : a + BLOCK]
-            qv = vectors_of(part["v"])
+            qv = vectors_of(part["qv"])
             best = Best(len(part), k, least)
             floor = np.maximum(part["bound"].to_numpy(), least).astype(np.float32)
             best.sim[:, -1] = np.where(floor > least, floor, -np.inf)  # the bound found at home holds here too
             search(qv @ axes, qv, np.full(len(part), -1), best, v, p, rank, t, boxes, factor)
             best.sim[best.pos == np.iinfo(np.int64).max] = -np.inf
-            out.append(hits(part["vid"].to_numpy(), best, ids))
+            out.append(hits(part["qid"].to_numpy(), best, ids))
         return pd.concat(out, ignore_index=True)
 
     # Many queries may be sent to one cell: they come in slices, each beside the cell's vectors, as far as a cell's share
     # exceeds its own size.
     slices = 4
     cells = homed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))) if depth > 6 else homed.withColumn("slice", F.lit(0))
-    guests = sent.withColumn("slice", (F.abs(F.xxhash64("vid")) % slices).cast("int") if depth > 6 else F.lit(0))
-    away = cells.groupBy("cell", "slice").cogroup(guests.groupBy("cell", "slice")).applyInPandas(visited, "vid bigint, other bigint, sim double")
+    guests = sent.withColumn("part", (F.abs(F.xxhash64("qid")) % slices).cast("int") if depth > 6 else F.lit(0))
+    away = cells.groupBy("cell", "slice").cogroup(guests.groupBy("to", "part")).applyInPandas(visited, "vid bigint, other bigint, sim double")
     found = first.where("cell < 0").select("vid", "other", "sim").unionByName(away)
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "other"))).where(F.col("r") <= k).select("vid", "other", "sim")
     best = best.unionByName(firsts.groupBy("vid").agg(F.max("r").alias("r")).where("r > 1").select("vid", F.col("vid").alias("other"), F.lit(1.0).alias("sim")))

@@ -38,23 +38,28 @@ REFUSALS = [
     r"(?i)\bI(?:'|’)?(?:\s+a)?m\s+(?:sorry|afraid|unable|not\s+able|not\s+permitted|not\s+allowed)\b|\bI\s+(?:can(?:no|')?t|can\s+not|could\s+not|won't|will\s+not|must\s+decline|have\s+to\s+decline|do\s+not|don't|am\s+(?:unable|not))\b",
     r"(?i)\b(?:as\s+an?\s+(?:AI|assistant|language\s+model)|en\s+tant\s+qu['’]|como\s+(?:asistente|modelo)|als\s+(?:KI|assistent|sprachmodell))",
     r"(?i)\b(?:context|information|passage|documents?|excerpt|source|Kontext|Angaben|Informationen|contexte|contexto|información|informations?)\b[^.]{0,60}\b(?:does\s+not|doesn['’]t|do\s+not|don['’]t|not\s+(?:enough|sufficient)|reicht|nicht|ne\s+(?:permet|suffit|contient)|no\s+(?:me\s+)?(?:permite|basta|contiene|es\s+suficiente))",
-    r"(?i)\b(?:outside|beyond)\s+what\s+I|\bunable\s+to\s+(?:determine|answer|provide|say)|\bcannot\s+(?:answer|help|provide|assist|say|share)\b|\bnot\s+able\s+to\s+(?:answer|provide|help)|\bsorry\b|\bapologi[sz]e|\bunfortunately\b",
-    r"(?i)\b(?:kann|können|konnte|darf)\b[^.]{0,50}\b(?:leider|nicht|keine)\b|\bleider\b|\btut\s+mir\s+leid|\bnicht\s+(?:beantworten|sagen|weitergeben)\b|\bkeine\s+(?:auskunft|angaben|antwort)\b",
-    r"(?i)\b(?:désolée?|je\s+(?:ne\s+(?:peux|suis|dispose|sais)|regrette)|m['’]est\s+impossible|malheureusement|je\s+n['’]ai\s+pas)\b",
-    r"(?i)\b(?:lo\s+siento|lamento|no\s+(?:puedo|es\s+posible|tengo|dispongo|estoy)|me\s+es\s+imposible|lamentablemente|desafortunadamente)\b",
+    r"(?i)\b(?:outside|beyond)\s+what\s+I|\bunable\s+to\s+(?:determine|answer|provide|say)|\bcannot\s+(?:answer|help|provide|assist|say|share)\b|\bnot\s+able\s+to\s+(?:answer|provide|help)|\bsorry\s*[,.!;:]|\bsorry\s+but\b|\bapolog(?:i[sz]e|ies)\b|\bunfortunately\b|\bnothing\s+I\s+can\s+say\b|\bagainst\s+my\s+(?:guidelines|rules|policy)|\bnot\s+be\s+appropriate\b|^\W*no\s+comment\s*[.!]|\brather\s+not\b|\b(?:beyond|outside)\s+(?:of\s+)?my\s+scope\b|\bmust\s+decline\b|\bdecline\s+(?:to|this)\b",
+    r"(?i)\b(?:kann|können|konnte|darf)\b[^.]{0,50}\b(?:leider|nicht|keine)\b|\bleider\b|\btut\s+mir\s+leid|\bnicht\s+(?:beantworten|sagen|weitergeben)\b|\bkeine\s+(?:auskunft|angaben|antwort|informationen|daten)\b|\bliegen\s+mir\s+keine\b|^\W*kein\s+kommentar\b|\bmöchte\s+ich\s+(?:mich\s+)?(?:nichts|nicht)\b",
+    r"(?i)\b(?:désolée?|je\s+(?:ne\s+(?:peux|suis|dispose|sais)|regrette)|m['’]est\s+impossible|malheureusement|je\s+n['’]ai\s+pas|je\s+préfère(?:rais)?\s+ne|je\s+m['’]abstiens|(?:sans|aucun|pas\s+de)\s+commentaire)\b",
+    r"(?i)\b(?:lo\s+siento|lamento|no\s+(?:puedo|(?:me\s+)?es\s+posible|tengo|dispongo|estoy|opinar|comentar)|(?:prefiero|mejor)\s+no|sin\s+comentarios|me\s+es\s+imposible|lamentablemente|desafortunadamente)\b",
 ]
 _REFUSAL = [re.compile(p) for p in REFUSALS]
-_FIRST = re.compile(r"(?i)\b(?:I|I'm|I’m|me|my|ich|mir|je|j['’]|m['’]|yo|puedo|tengo|siento|lamento|dispongo|estoy|context|passage|contexte|contexto|kontext|information|unfortunately|leider|malheureusement|lamentablemente|sorry)\b")
+_FIRST = re.compile(r"(?i)\b(?:I|my|comment|comentarios?|kommentar|opinar|I'm|I’m|me|my|ich|mir|je|j['’]|m['’]|yo|puedo|tengo|siento|lamento|dispongo|estoy|context|passage|contexte|contexto|kontext|information|unfortunately|leider|malheureusement|lamentablemente|sorry)\b")
 #: What needs the passage that a question was made from.
 POINTERS = [
     r"(?i)\b(?:this|that|the)\s+(?:section|passage|excerpt|text|paragraph|document|article|chapter|page|author|table|figure|list|example)\b(?!\s+(?:field|table|of|column|record|store|hold|type|id|key|index))",
-    r"(?i)\b(?:above|below|aforementioned|mentioned\s+(?:here|earlier|before)|previous\s+(?:section|paragraph|sentence)|following\s+(?:section|paragraph))\b|\b(?:the\s+two|these|those)\s+(?:options|steps|values|items|limits)\b",
+    r"(?i)\b(?:above(?!\s+\d)|below(?!\s+\d)|aforementioned|mentioned\s+(?:here|earlier|before)|previous\s+(?:section|paragraph|sentence)|following\s+(?:section|paragraph))\b|\b(?:the\s+two|these|those)\s+(?:options|steps|values|items|limits)\b",
     r"(?i)^\W*(?:why|when|where|how|what|who|which|did|does|do|is|was|can)\b[^?]{0,40}\b(?:they|it|he|she|them|these|those)\b",
     r"(?i)\baccording\s+to\s+(?:the|this)\s+(?:author|text|passage|document|excerpt|section)\b|\b(?:this|the\s+given)\s+(?:context|excerpt|passage)\b",
     r"(?i)\b(?:dieser?[mns]?|im|laut\s+dem)\s+(?:abschnitt|text|auszug|absatz|dokument|tabelle)\b|\b(?:oben|unten|obige[nrs]?|genannte[nrs]?)\b|\b(?:haben|hat)\s+(?:sie|er|es)\b",
     r"(?i)\b(?:cette|ce|cet|la|le|l['’])\s*(?:section|passage|extrait|texte|paragraphe|document|auteur|tableau)\b|\bci-(?:dessus|dessous)\b|\b(?:ont|a)-t?-?(?:ils|elles|il|elle)\b(?!.*[A-Z][a-z]{3,})",
     r"(?i)\b(?:esta|este|el|la|del)\s+(?:sección|pasaje|fragmento\s+anterior|extracto|texto|párrafo|documento|autora?|tabla)\b|\b(?:anterior(?:es)?|arriba|abajo|mencionad[oa]s?)\b",
 ]
+POINTERS += [
+    r"(?i)\bthe\s+(?:snippet|writer|speaker|narrator)\b|\b(?:first|second|third|last|next)\s+(?:paragraph|sentence)\b",
+    r"(?i)^\W*(?:what|why|when|who|how|where|which)\s+(?:is|was|are|were)\s+(?:its|their|his|her|that|this|it|these|those)\b",
+    r"(?i)\b(?:listed|shown|described|mentioned|given|stated|discussed)\s+(?:here|above|below|in\s+(?:the|this)\s+(?:text|passage|section|paragraph|table))\b",
+]
 _POINTERS = [re.compile(p) for p in POINTERS]
 _TOKEN = re.compile(r"[^\W_]+")
 _SETS = {k: frozenset(v.split()) for k, v in WORDS.items()}
@@ -95,6 +100,8 @@ def votes(question: str, answer: str, passage: str) -> dict[str, list[int]]:
     own = sum(t in _SETS.get(lq, ()) for t in at)
     other = sum(t in _SETS.get(la, ()) for t in at)
     out["language"] = [int(lq != la) if clear else -1, (int(lq != la and other > 2 * own) if clear else 0), 0 if not clear or lq == la else 1 if other >= own + 3 else -1]
+    if same is False and q and a.lower().startswith(q.rstrip("? ").lower()):
+        a = a[len(q.rstrip("? ")) :].lstrip(" ?:\u00a0")  # an answer that repeats the question first is judged by the rest
     closed = bool(_END.search(a))
     sentences = [x for x in re.split(r"(?<=[.!?])\s+", a.strip()) if x]
     tail = sentences[-1] if sentences else ""
