@@ -1,10 +1,277 @@
-"""The registered queries of the core operators and their SQL."""
+"""The registered queries of the core operators and the DuckDB SQL that they are held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.functions.columns import approximate_tokens, condition, dot, entity_key, quantize, tokens
+from quillspan.operators import context, evaluation, graph, guards, ingest, retrieval
+from quillspan.sources.tables import table
+from quillspan.streaming.windows import windowed_counts
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+#: Every 50th row asks, against all rows.
+EVERY = 50
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where(f"doc_id % {EVERY} = 0 and title is not null").select(F.col("doc_id").alias("qid"), F.col("title").alias("text"))
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+
+
+def _query_vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
+
+
+_BM25 = rf"""
+tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS t FROM documents),
+st AS (SELECT count(*) AS n, avg(coalesce(len(t), 0)) AS avgdl FROM tok),
+post AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM post GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT qid, term FROM (SELECT doc_id AS qid, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+')) AS term FROM documents WHERE doc_id % {EVERY} = 0 AND title IS NOT NULL)),
+bs AS (SELECT qid, doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL)"""
+_DENSE = f"""
+nv AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS m FROM embeddings),
+ds AS (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, round(list_dot_product(a.v, b.v) / (a.m * b.m), 6) AS score FROM nv a, nv b WHERE a.vec_id % {EVERY} = 0)"""
+
+
+def _ranked(name: str, k: int) -> str:
+    return f"SELECT qid, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS INT) AS rank FROM {name}) WHERE rank < {k}"
+
+
+@query(f"WITH {_BM25} {_ranked('bs', 10)}")
+def bm25_topk(s, d):
+    return retrieval.bm25(_asked(s, d), _docs(s, d), 10)
+
+
+@query(f"WITH {_DENSE} {_ranked('ds', 10)}")
+def dense_topk(s, d):
+    return retrieval.dense(_query_vectors(s, d), _vectors(s, d), 10)
+
+
+def _legs(s, d):
+    dense = retrieval.dense(_query_vectors(s, d), _vectors(s, d), 50)
+    lexical = retrieval.bm25(_asked(s, d), _docs(s, d), 50)
+    return dense.select("qid", F.lit("dense").alias("leg"), "chunk_id", "score").unionByName(lexical.select("qid", F.lit("lexical").alias("leg"), "chunk_id", "score"))
+
+
+_LEGS = f"WITH {_BM25}, {_DENSE}, lists AS (SELECT qid, 'dense' AS leg, chunk_id, score, rank FROM ({_ranked('ds', 50)}) UNION ALL SELECT qid, 'lexical', chunk_id, score, rank FROM ({_ranked('bs', 50)}))"
+
+
+def _fused(value: str, total: str) -> str:
+    return f"{_LEGS}, w AS (SELECT *, {value} AS value FROM (SELECT *, min(score) OVER (PARTITION BY qid, leg) AS lo, max(score) OVER (PARTITION BY qid, leg) AS hi FROM lists)), f AS (SELECT qid, chunk_id, round({total}(value), 6) AS score, min(rank) AS best_rank, count(*) AS legs FROM w GROUP BY qid, chunk_id) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, chunk_id) - 1 AS INT) AS rank FROM f) WHERE rank < 10"
+
+
+@query(_fused("1.0::DOUBLE / (60 + rank + 1)", "sum"))
+def hybrid_rrf(s, d):
+    return retrieval.fuse(_legs(s, d), "rrf", k=10)
+
+
+_MM = "CASE WHEN hi - lo > 1e-12 THEN (score - lo) / (hi - lo) ELSE 1.0 END"
+
+
+@query(_fused(f"CASE WHEN leg = 'lexical' THEN 0.5 ELSE 1.0 END * {_MM}", "sum"))
+def fuse_weighted(s, d):
+    return retrieval.fuse(_legs(s, d), "weighted", {"lexical": 0.5}, k=10)
+
+
+@query(_fused(_MM, "max"))
+def fuse_relative(s, d):
+    return retrieval.fuse(_legs(s, d), "relative", k=10)
+
+
+@query(_fused("score", "max"))
+def fuse_max(s, d):
+    return retrieval.fuse(_legs(s, d), "max", k=10)
+
+
+@query(f"""{_LEGS}, z AS (SELECT qid, leg, chunk_id, rank, CASE WHEN sd <= 1e-12 THEN 0.0 ELSE (score - mu) / sd END AS z FROM (SELECT *, avg(score) OVER (PARTITION BY qid, leg) AS mu, stddev_pop(score) OVER (PARTITION BY qid, leg) AS sd FROM lists)),
+fl AS (SELECT qid, leg, min(z) - 1 AS fl FROM z GROUP BY ALL), ids AS (SELECT DISTINCT qid, chunk_id FROM z),
+f AS (SELECT i.qid, i.chunk_id, round(sum(coalesce(z.z, fl.fl)), 6) AS score, min(z.rank) AS best_rank, count(z.z) AS legs FROM ids i JOIN fl ON fl.qid = i.qid LEFT JOIN z ON z.qid = i.qid AND z.leg = fl.leg AND z.chunk_id = i.chunk_id GROUP BY i.qid, i.chunk_id)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, chunk_id) - 1 AS INT) AS rank FROM f) WHERE rank < 10""")
+def fuse_dbsf(s, d):
+    return retrieval.fuse(_legs(s, d), "dbsf", k=10)
+
+
+@query(f"WITH {_DENSE}, t AS ({_ranked('ds', 50)}) SELECT qid, chunk_id, round(CASE WHEN hi - lo > 1e-9 THEN (score - lo) / (hi - lo) ELSE 1.0 END, 6) AS norm FROM (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM t) WHERE hi <= 0 OR score >= 0.35 * hi")
+def noise_cutoff_minmax(s, d):
+    scored = retrieval.normalized(retrieval.dense(_query_vectors(s, d), _vectors(s, d), 50))
+    return retrieval.relative_cutoff(scored).select("qid", "chunk_id", "norm")
+
+
+@query(f"WITH {_DENSE}, t AS ({_ranked('ds', 9)}) SELECT qid, chunk_id, CAST(CASE WHEN rank % 2 = 0 THEN rank // 2 ELSE 8 - (rank - 1) // 2 END AS INT) AS place FROM t")
+def lost_in_middle(s, d):
+    return retrieval.lost_in_middle(retrieval.dense(_query_vectors(s, d), _vectors(s, d), 9)).select("qid", "chunk_id", "place")
+
+
+@query()
+def mmr_select(s, d):
+    near = retrieval.dense(_query_vectors(s, d), _vectors(s, d), 50)
+    return retrieval.mmr(near.join(_vectors(s, d), "chunk_id"), 10)
+
+
+@query(f"WITH {_DENSE}, t AS ({_ranked('ds', 10)}), h AS (SELECT t.*, (a.label = b.label) AS hit FROM t JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = chunk_id), n AS (SELECT vec_id AS qid, (SELECT count(*) FROM embeddings b WHERE b.label = a.label) AS n FROM embeddings a WHERE vec_id % {EVERY} = 0) SELECT n.qid, round(count_if(hit)::DOUBLE / n.n, 6) AS recall, round(count_if(hit) / 10.0::DOUBLE, 6) AS precision, round(coalesce(sum(CASE WHEN hit THEN 1 / log2(rank + 2) END) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) r(i) WHERE i <= n.n), 0), 6) AS ndcg, round(coalesce(1.0::DOUBLE / min(CASE WHEN hit THEN rank + 1 END), 0), 6) AS rr FROM n LEFT JOIN h USING (qid) GROUP BY n.qid, n.n")
+def retrieval_metrics_at_10(s, d):
+    e = table(s, d, "embeddings")
+    ranked = retrieval.dense(_query_vectors(s, d), _vectors(s, d), 10).select("qid", F.col("chunk_id").alias("doc"), "rank")
+    asked = e.where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("qid"), "label")
+    labels = asked.join(e.select(F.col("vec_id").alias("doc"), "label"), "label").select("qid", "doc", F.lit(1.0).alias("gain"))
+    return evaluation.retrieval_metrics(ranked, labels, (10,)).select("qid", "recall", "precision", "ndcg", "rr")
+
+
+@query(r"WITH p AS (SELECT gq_id AS key, regexp_extract_all(lower(question), '[\p{L}\p{N}_]+') AS a, regexp_extract_all(lower(answer), '[\p{L}\p{N}_]+') AS b FROM generated_questions), x AS (SELECT key, unnest(a) AS t FROM p), y AS (SELECT key, unnest(b) AS t FROM p), xc AS (SELECT key, t, count(*) AS n FROM x GROUP BY ALL), yc AS (SELECT key, t, count(*) AS n FROM y GROUP BY ALL), s AS (SELECT key, sum(least(xc.n, yc.n)) AS s FROM xc JOIN yc USING (key, t) GROUP BY key) SELECT p.key, round(CASE WHEN coalesce(len(a), 0) = 0 AND coalesce(len(b), 0) = 0 THEN 1.0 WHEN coalesce(len(a), 0) + coalesce(len(b), 0) = 0 THEN 0.0 ELSE 2.0::DOUBLE * coalesce(s, 0) / (coalesce(len(a), 0) + coalesce(len(b), 0)) END, 6) AS f1 FROM p LEFT JOIN s USING (key)")
+def token_f1(s, d):
+    return evaluation.token_f1(table(s, d, "generated_questions").select(F.col("gq_id").alias("key"), F.col("question").alias("answer"), F.col("answer").alias("reference")))
+
+
+@query()
+def rouge_l(s, d):
+    return evaluation.rouge_l(table(s, d, "generated_questions").select(F.col("gq_id").alias("key"), F.col("question").alias("answer"), F.col("answer").alias("reference")))
+
+
+@query('SELECT event_type AS "group", count(*) AS n, round(avg(CASE WHEN event_type = \'error\' THEN 1.0::DOUBLE ELSE 0 END), 6) AS failure_rate, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(sum(value), 4) AS total FROM events GROUP BY event_type')
+def operational_report(s, d):
+    return evaluation.operational(table(s, d, "events").select(F.col("event_type").alias("group"), "value", (F.col("event_type") == "error").alias("failed")))
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_event_counts(s, d):
+    return windowed_counts(table(s, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, user_id, recent FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW) AS recent FROM events) WHERE recent > 2")
+def rate_limit_violations(s, d):
+    return guards.rate_violations(table(s, d, "events"), 2, 7200)
+
+
+def _edges(s, d):
+    """Customers and the parts they bought, as nodes c * 2 and p * 2 + 1."""
+    o, l = table(s, d, "orders"), table(s, d, "lineitem")
+    return o.join(l, o.o_orderkey == l.l_orderkey).select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), F.col("l_quantity").cast("double").alias("weight"))
+
+
+_EDGES = "e AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, round(sum(w), 6) AS weight FROM (SELECT o_custkey * 2 AS a, l_partkey * 2 + 1 AS b, l_quantity::DOUBLE AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY ALL), bw AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"
+
+
+@query(f"WITH {_EDGES} SELECT * FROM e")
+def edge_collapse(s, d):
+    return graph.collapsed_edges(_edges(s, d))
+
+
+@query(f"WITH {_EDGES}, g AS (SELECT src AS node, count(*) AS degree FROM bw GROUP BY src) SELECT node, degree, round(degree::DOUBLE / (SELECT max(degree) FROM g), 6) AS centrality FROM g")
+def degree_centrality(s, d):
+    return graph.degrees(graph.collapsed_edges(_edges(s, d)))
+
+
+@query(f"WITH {_EDGES}, sd AS (SELECT DISTINCT c_custkey * 2 AS seed FROM customer WHERE c_custkey % {EVERY} = 0), h1 AS (SELECT DISTINCT seed, dst AS node FROM sd JOIN bw ON src = seed), h2 AS (SELECT DISTINCT seed, bw.dst AS node FROM h1 JOIN bw ON bw.src = h1.node) SELECT seed, node, 1 AS hops FROM h1 UNION ALL SELECT seed, node, 2 FROM h2 WHERE node <> seed AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.seed = h2.seed AND h1.node = h2.node)")
+def neighbors_2hop(s, d):
+    seeds = table(s, d, "customer").where(f"c_custkey % {EVERY} = 0").select((F.col("c_custkey") * 2).alias("seed"))
+    return graph.neighbors(graph.collapsed_edges(_edges(s, d)), seeds, 2)
+
+
+@query(f"WITH {_EDGES}, n0 AS (SELECT c_custkey * 2 AS node, 1.0::DOUBLE AS weight FROM customer WHERE c_custkey % {EVERY} = 0), n1 AS (SELECT node, max(weight) AS weight FROM (SELECT * FROM n0 UNION ALL SELECT dst, weight * 0.6 FROM n0 JOIN (SELECT DISTINCT src, dst FROM bw) ON src = node) GROUP BY node), n2 AS (SELECT node, max(weight) AS weight FROM (SELECT * FROM n1 UNION ALL SELECT dst, weight * 0.6 FROM n1 JOIN (SELECT DISTINCT src, dst FROM bw) ON src = node) GROUP BY node) SELECT node, round(weight, 6) AS weight FROM n2")
+def propagate(s, d):
+    seeds = table(s, d, "customer").where(f"c_custkey % {EVERY} = 0").select((F.col("c_custkey") * 2).alias("node"), F.lit(1.0).alias("weight"))
+    return graph.propagate(graph.collapsed_edges(_edges(s, d)), seeds, 2)
+
+
+@query()
+def label_communities(s, d):
+    return graph.label_propagation(graph.collapsed_edges(_edges(s, d)), 3)
+
+
+@query(r"SELECT p_brand AS type, trim(regexp_replace(regexp_replace(lower(replace(p_name, '&', ' and ')), '[^\p{L}\p{N}]+', ' ', 'g'), '^(the|a|an) ', '')) AS key, count(DISTINCT p_name) AS aliases, count(DISTINCT p_partkey) AS chunks FROM part GROUP BY ALL")
+def entity_merge(s, d):
+    p = table(s, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("type"), F.col("p_partkey").alias("chunk_id"))
+    return graph.merged_entities(p).select("type", "key", "aliases", "chunks")
+
+
+@query("SELECT d.doc_id, CASE WHEN e.id IS NULL THEN 'new' WHEN coalesce(lower(d.checksum) = lower(e.checksum), false) THEN 'unchanged' ELSE 'changed' END AS outcome FROM documents d LEFT JOIN (SELECT id, max(checksum) AS checksum FROM documents WHERE batch_no = 0 GROUP BY id) e USING (id) WHERE d.batch_no > 0")
+def checksum_outcomes(s, d):
+    docs = table(s, d, "documents")
+    old = docs.where("batch_no = 0").groupBy("id").agg(F.max("checksum").alias("checksum"))
+    return ingest.outcomes(docs.where("batch_no > 0"), old).select("doc_id", "outcome")
+
+
+@query("SELECT id, chunks, tokens FROM (SELECT DISTINCT id FROM documents WHERE id IS NOT NULL) JOIN (SELECT document_id AS id, count(*) AS chunks, CAST(sum(coalesce(token_count, 0)) AS BIGINT) AS tokens FROM (SELECT chunk_id, any_value(document_id) AS document_id, max(token_count) AS token_count FROM chunks GROUP BY chunk_id) GROUP BY document_id) USING (id)")
+def document_summaries(s, d):
+    return ingest.document_summaries(table(s, d, "documents"), table(s, d, "chunks")).select("id", "chunks", "tokens")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY coalesce(lower(checksum), 'row ' || doc_id) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def duplicate_checksum_first(s, d):
+    return ingest.first_of_checksum(table(s, d, "documents")).select("doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL OR length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END::INT AS tokens FROM documents")
+def token_estimates(s, d):
+    return table(s, d, "documents").select("doc_id", approximate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id FROM documents WHERE (lang = 'de' OR lang = 'fr') AND n_chars >= 500 AND n_chars < 2000 AND (source IS NULL OR source <> 'ops-runbooks') AND NOT (batch_no IN (1, 2))")
+def filter_dialect(s, d):
+    spec = {"lang": ["de", "fr"], "n_chars": {"gte": 500, "lt": 2000}, "source": {"ne": "ops-runbooks"}, "$not": {"batch_no": {"in": [1, 2]}}}
+    return table(s, d, "documents").where(condition(spec)).select("doc_id")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm FROM embeddings")
+def vector_norms(s, d):
+    return table(s, d, "embeddings").select("vec_id", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))
+
+
+@query()
+def vector_quantized(s, d):
+    return table(s, d, "embeddings").select("vec_id", quantize(F.col("embedding")).alias("q"))
+
+
+@query(r"SELECT chunk_id, n FROM (SELECT chunk_id, max(coalesce(len(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')), 0)) AS n FROM chunks GROUP BY chunk_id)")
+def token_lengths(s, d):
+    return table(s, d, "chunks").groupBy("chunk_id").agg(F.max(F.size(tokens(F.col("content")))).cast("bigint").alias("n"))
+
+
+@query()
+def injection_risk(s, d):
+    return table(s, d, "documents").select("doc_id", guards.injection_risk(F.col("text")).alias("risk"))
+
+
+@query()
+def budget_prefix(s, d):
+    found = retrieval.bm25(_asked(s, d), _docs(s, d), 20).join(_docs(s, d), "chunk_id")
+    return context.budget_prefix(found, 2000).select("qid", "chunk_id", "rank", "upto")
+
+
+@query()
+def bootstrap_ci(s, d):
+    cases = table(s, d, "embeddings").select(F.lit("norm").alias("metric"), F.col("vec_id").alias("key"), F.element_at("embedding", 1).cast("double").alias("a"), F.element_at("embedding", 2).cast("double").alias("b"))
+    return evaluation.paired_bootstrap(cases, 400)
+
+
+@query()
+def entity_names(s, d):
+    return table(s, d, "supplier").select("s_suppkey", entity_key(F.col("s_name")).alias("key"))
 
 
-def flagship(spark, folder):
-    raise NotImplementedError
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search: BM25 and dense lists fused by reciprocal ranks."""
+    return hybrid_rrf(spark, folder)
