@@ -269,16 +269,17 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
             s = slice(a, min(a + BLOCK, len(p)))
             best = Best(s.stop - a, k, least)
             search(p[s], v[s], rank[s], best, v, p, rank, t, boxes, factor)
-            out.append(hits(ids[s], best, ids).assign(cell=-1, bound=0.0))
+            out.append(hits(ids[s], best, ids).assign(v=None, cell=-1, bound=0.0))
             far, outside = cells_left_for(p[s], low, high)
             reach = far <= sending[outside] * best.bound()[:, None]
             reach[:, here] = False
             i, c = np.nonzero(reach)
-            out.append(pd.DataFrame({"vid": ids[s][i], "other": np.zeros(len(i), np.int64), "sim": 0.0, "cell": c, "bound": best.sim[i, -1].astype(np.float64)}))
-        return pd.concat(out, ignore_index=True)[["vid", "other", "sim", "cell", "bound"]]
+            raw = f["v"].to_numpy()[s]
+            out.append(pd.DataFrame({"vid": ids[s][i], "other": np.zeros(len(i), np.int64), "sim": 0.0, "v": raw[i], "cell": c, "bound": best.sim[i, -1].astype(np.float64)}))
+        return pd.concat(out, ignore_index=True)[["vid", "other", "sim", "v", "cell", "bound"]]
 
-    first = spool(homed.groupBy("cell").applyInPandas(at_home, "vid bigint, other bigint, sim double, cell int, bound double"))
-    sent = first.where("cell >= 0").select(F.col("vid").alias("qid"), F.col("cell").alias("to"), "bound").join(homed.select(F.col("vid").alias("qid"), F.col("v").alias("qv")), "qid")
+    first = spool(homed.groupBy("cell").applyInPandas(at_home, "vid bigint, other bigint, sim double, v binary, cell int, bound double"))
+    sent = first.where("cell >= 0").select(F.col("vid").alias("qid"), F.col("cell").alias("to"), "bound", F.col("v").alias("qv"))
 
     def visited(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"vid": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "sim": np.zeros(0)})
