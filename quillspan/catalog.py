@@ -272,6 +272,52 @@ def entity_names(s, d):
     return table(s, d, "supplier").select("s_suppkey", entity_key(F.col("s_name")).alias("key"))
 
 
+_TF = rf"WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+')) AS term FROM documents), w AS (SELECT doc_id, term, count(*)::DOUBLE AS weight FROM p GROUP BY ALL), ss AS (SELECT a.doc_id AS qid, b.doc_id AS chunk_id, round(sum(a.weight * b.weight), 6) AS score FROM w a JOIN w b USING (term) WHERE a.doc_id % {EVERY} = 0 GROUP BY ALL)"
+
+
+@query(f"{_TF} {_ranked('ss', 10)}")
+def sparse_topk(s, d):
+    t = table(s, d, "documents").select("doc_id", F.explode(tokens(F.col("title"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    return retrieval.sparse_dot(t.where(f"doc_id % {EVERY} = 0").withColumnRenamed("doc_id", "qid"), t.withColumnRenamed("doc_id", "chunk_id"), 10)
+
+
+@query(f"WITH {_DENSE}, t AS ({_ranked('ds', 20)}) SELECT qid, label AS chunk_id, round(max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM t JOIN embeddings a ON a.vec_id = qid JOIN (SELECT vec_id, embedding, label FROM embeddings) b ON b.vec_id = chunk_id GROUP BY qid, b.label" .replace("SELECT qid, label AS", "SELECT qid, b.label AS"))
+def maxsim_scores(s, d):
+    e = table(s, d, "embeddings")
+    near = retrieval.dense(_query_vectors(s, d), _vectors(s, d), 20).select("qid", F.col("chunk_id").alias("vec_id"))
+    rows = near.join(e, "vec_id").select("qid", F.col("label").alias("chunk_id"), F.col("embedding").alias("v"))
+    return retrieval.maxsim(_query_vectors(s, d).withColumn("tok", F.lit(0)), rows)
+
+
+@query(f"WITH {_EDGES}, sd AS (SELECT c_custkey * 2 AS n FROM customer WHERE c_custkey % {EVERY} = 0) SELECT a.src AS start, b.dst AS goal, 2 AS hops, count(*) AS paths, round(sum(a.weight + b.weight) / count(*) / 2, 6) AS score FROM bw a JOIN bw b ON a.dst = b.src WHERE a.src IN (SELECT n FROM sd) AND b.dst IN (SELECT n FROM sd) AND a.src <> b.dst GROUP BY ALL")
+def shortest_paths(s, d):
+    seeds = table(s, d, "customer").where(f"c_custkey % {EVERY} = 0").select((F.col("c_custkey") * 2).alias("start"))
+    return graph.shortest_paths(graph.collapsed_edges(_edges(s, d)), seeds, seeds.withColumnRenamed("start", "goal"), 2)
+
+
+@query("SELECT id, epoch_us(max(created_at)) AS changed FROM documents WHERE id IS NOT NULL GROUP BY id")
+def upsert_latest(s, d):
+    docs = table(s, d, "documents").where("id is not null").select("id", "created_at")
+    return ingest.upsert(docs.where("1 = 0"), docs).select("id", F.unix_micros("created_at").alias("changed"))
+
+
+@query("SELECT DISTINCT chunk_id FROM chunks WHERE document_id NOT IN (SELECT id FROM documents WHERE batch_no = 8 AND id IS NOT NULL)")
+def stale_purge(s, d):
+    gone = table(s, d, "documents").where("batch_no = 8 and id is not null").select("id")
+    return ingest.purge(table(s, d, "chunks"), gone).select("chunk_id").distinct()
+
+
+@query()
+def sentence_windows(s, d):
+    docs = table(s, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.explode(context.sentence_windows(F.col("text"))).alias("w")).select("doc_id", "w.*")
+
+
+@query("SELECT gq_id, CASE WHEN regexp_matches(lower(question), '\\b(how many|average|total|sum|count|highest|lowest)\\b') THEN 'relational' WHEN regexp_matches(lower(question), '\\b(related|relationship|between|connected|depends?)\\b') THEN 'graph' ELSE 'vector' END AS store FROM generated_questions")
+def rule_route(s, d):
+    return table(s, d, "generated_questions").select("gq_id", context.route(F.col("question")).alias("store"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Hybrid search: BM25 and dense lists fused by reciprocal ranks."""
     return hybrid_rrf(spark, folder)
