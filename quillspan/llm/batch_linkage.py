@@ -8,14 +8,11 @@ few candidates that need the exact check.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.overlap_join import block_postings, bounded, class_members, has_bits, id_bitmap, meeting_pairs, verified, whole_sets
+from quillspan.llm.overlap_join import block_postings, bounded, class_members, having_bits, id_bitmap, meeting_pairs, standing_for, verified, whole_sets
 from quillspan.plans.spool import spool
 from quillspan.sources.tables import table
 
@@ -58,18 +55,6 @@ def class_table(members: DataFrame) -> DataFrame:
     return spool(first.select("cid", "n", "first.batch_no", "first.doc_id", "first.checksum", "first.source", "copies"))
 
 
-def probed(keys: DataFrame, probes: np.ndarray) -> DataFrame:
-    """The rows of a persisted key table whose key is in the bitmap of a batch's keys."""
-    shared = keys.sparkSession.sparkContext.broadcast(probes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array(has_bits(bitmap, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
-
-    return keys.mapInArrow(run, keys.schema)
-
-
 def earlier(batch_a: str, doc_a: str, batch_b: str, doc_b: str):
     return (F.col(batch_a) < F.col(batch_b)) | ((F.col(batch_a) == F.col(batch_b)) & (F.col(doc_a) < F.col(doc_b)))
 
@@ -142,12 +127,12 @@ def link_batches(records: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     records = records.select("doc_id", F.coalesce("batch_no", F.lit(0)).alias("batch_no"), "checksum", "source", "text").where("doc_id is not null")
     members, sketch = class_members(records, WIDTH, MIN_TOKENS)
     kept = class_table(members)
-    copies = kept.where("copies > 1")
-    copied, owners = id_bitmap(copies.select("cid")), id_bitmap(copies.select("doc_id"))
+    copied = id_bitmap(kept.where("copies > 1").select("cid"))
+    owners = standing_for(kept.select("cid", "doc_id"), copied)
     keys_of = lambda part: block_postings(records.where(part).select("doc_id", "text"), sketch, copied, owners, threshold, WIDTH, MIN_TOKENS)
     history = spool(keys_of("batch_no = 0"))
     fresh = spool(keys_of("batch_no > 0"))
-    met = probed(history, id_bitmap(fresh.select("h")))
+    met = having_bits(history, id_bitmap(fresh.select("h")))
     pairs = meeting_pairs(met, fresh, threshold, lambda a, b: a.cid_a != b.cid_b).unionByName(meeting_pairs(fresh, fresh, threshold, lambda a, b: a.cid_a < b.cid_b))
     pairs = spool(in_order(bounded(pairs.distinct(), members, threshold), kept))
     candidates = scored(pairs, kept).where(F.col("score") >= LOWEST_SCORE)

@@ -140,8 +140,9 @@ def class_members(rows: DataFrame, width: int, min_tokens: int) -> tuple[DataFra
 def block_postings(rows: DataFrame, sketch: np.ndarray, copied: np.ndarray, owners: np.ndarray, threshold: float, width: int, min_tokens: int) -> DataFrame:
     """rows(key bigint, text) -> (h, cid, n): the keys of each class.
 
-    `copied` is a bitmap of the classes that may have copies, `owners` one of the keys that stand for such classes; a bit
-    set by chance only makes a class's rows come twice.
+    `copied` is a bitmap of the classes that may have copies, `owners` one of the keys that stand for classes. Every class
+    whose bit is set in `copied`, be it by chance, must have a key in `owners` (see standing_for): a bit set by chance then
+    only makes a class's rows come twice.
     """
     context = rows.sparkSession.sparkContext
     counted, bits, own = context.broadcast(sketch), context.broadcast(copied), context.broadcast(owners)
@@ -193,6 +194,23 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
     return fold(ids, BITMAP_BYTES, "uint8", update, np.bitwise_or)
 
 
+def having_bits(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose first column, a bigint, is in the bitmap."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(has_bits(bitmap, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def standing_for(keyed: DataFrame, copied: np.ndarray) -> np.ndarray:
+    """keyed(cid, key bigint) -> bitmap of the smallest key of each class whose bit is set in `copied`, by chance or not."""
+    return id_bitmap(having_bits(keyed, copied).groupBy("cid").agg(F.min(keyed.columns[1]).alias("key")).select("key"))
+
+
 def whole_sets(texts: DataFrame, width: int, min_tokens: int, wanted: np.ndarray) -> DataFrame:
     """(cid, members array<bigint>) of the classes whose id is in the bitmap, one row each."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
@@ -230,9 +248,8 @@ def similar_classes(rows: DataFrame, threshold: float, width: int, min_tokens: i
     """
     keyed = rows.select("key", "text", F.xxhash64("key").alias("kid"))
     members, sketch = class_members(keyed, width, min_tokens)
-    copies = members.groupBy("cid").agg(F.min("kid").alias("kid"), F.count("*").alias("copies")).where("copies > 1")
-    copies = spool(copies)
-    keys = block_postings(keyed.select("kid", "text"), sketch, id_bitmap(copies.select("cid")), id_bitmap(copies.select("kid")), threshold, width, min_tokens)
+    copied = id_bitmap(members.groupBy("cid").agg(F.count("*").alias("copies")).where("copies > 1").select("cid"))
+    keys = block_postings(keyed.select("kid", "text"), sketch, copied, standing_for(members.select("cid", "kid"), copied), threshold, width, min_tokens)
     pairs = spool(bounded(meeting_pairs(keys, keys, threshold, lambda a, b: a.cid_a < b.cid_b), members, threshold))
     wanted = id_bitmap(pairs.select(F.explode(F.array("cid_a", "cid_b"))))
     return members.select("key", "cid"), verified(pairs, whole_sets(rows.select("text"), width, min_tokens, wanted), threshold)

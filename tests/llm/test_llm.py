@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspan.llm import batch_linkage, markup, mixing, near_copies, neighbors, packing, pair_defects, personal_data, splitting, truncation
+from quillspan.llm import batch_linkage, markup, mixing, near_copies, neighbors, overlap_join, packing, pair_defects, personal_data, shingles, splitting, truncation
 
 
 def sets(texts):
@@ -70,6 +70,26 @@ def test_batches_match_one_by_one_check(spark):
     assert reps.count() == len(s)
 
 
+def texts_of_one_bit():
+    """Two different texts whose classes share a bit of the bitmaps."""
+    hashes, seen = shingles.TokenHashes(), {}
+    for i in itertools.count():
+        text = " ".join(f"{w}{i}" for w in "abcdefghijklmnopqrstuvwxyz")
+        bit = overlap_join.class_of(shingles.shingle_set(text, 3, 20, hashes)) % (overlap_join.BITMAP_BYTES * 8)
+        if bit in seen:
+            return seen[bit], text
+        seen[bit] = text
+
+
+def test_class_that_shares_a_bit_with_a_copied_one_keeps_its_links(spark):
+    copied, single = texts_of_one_bit()
+    data = [(1, 0, None, "s", copied), (2, 0, None, "s", copied), (3, 0, None, "s", single), (4, 1, None, "s", single + " more")]
+    df = spark.createDataFrame(data, "doc_id long, batch_no int, checksum string, source string, text string")
+    pairs = near_copies.near_copy_pairs(df.select(F.col("doc_id").cast("string").alias("key"), "text")).collect()
+    assert {(r.key_a, r.key_b) for r in pairs} == {("1", "2"), ("3", "4")}
+    assert {(r.doc_id_a, r.doc_id_b) for r in batch_linkage.link_batches(df)[0].collect()} == {(3, 4)}
+
+
 def test_pieces_cover_the_text(spark, tmp_path):
     rng = random.Random(3)
     text = "".join(rng.choice(["wörd ", "end. ", "line\n", "para\n\n", "x" * 40]) for _ in range(3000))
