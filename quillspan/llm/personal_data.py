@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.llm.pair_defects import WORDS
 from quillspan.sources.tables import table
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
@@ -44,6 +45,7 @@ _ADDRESS = re.compile(
 _TOWN = re.compile(rf"(?:,? (?:\d{{4,5}}(?:-\d{{4}})?|[A-Z]{{2}} \d{{5}}))?,? {_WORD}(?:[ -]{_WORD})?(?: [A-Z]{{2}})?(?: \d{{5}})?")
 _NAME_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _INITIAL = re.compile(r"(?<!\w)[A-Z]\.(?:\s?[A-Z]\.)?")
+_FUNCTION = frozenset(w for words in WORDS.values() for w in words.split())
 _STOP_CONTEXT = re.compile(r"[A-Za-zÀ-ÿ]+")
 
 
@@ -144,7 +146,7 @@ class Segmenter:
         return out
 
     def names(self, text: str) -> list[tuple[int, int, str, list[str]]]:
-        """Runs of two or three words with a known part, or an initial with a word; a family part may be doubled by a hyphen."""
+        """Pairs of words with a known part, pairs of capitalised words, and initials with a capitalised word; a middle initial may stand between and a family part may be doubled by a hyphen."""
         words = [(m.start(), m.end(), m.group()) for m in _NAME_WORD.finditer(text)]
         tag = []
         for _, _, w in words:
@@ -159,11 +161,9 @@ class Segmenter:
                 if j >= len(words):
                     break
                 c, d, v = words[j]
-                if j == i + 2 and not (len(words[i + 1][2]) == 1 and text[words[i + 1][1] : words[i + 1][1] + 1] == "."):
+                if j == i + 2 and not (len(words[i + 1][2]) == 1 and text[words[i + 1][1] : words[i + 1][1] + 1] == "." and text[b : words[i + 1][0]] in ((". ", ".", " ") if len(w) == 1 else (" ",))):
                     continue
-                if not (tag[i] or tag[j]):
-                    continue
-                if not (tag[i] and tag[j]) and ((w[0].islower() and len(w) > 1) or v[0].islower()):
+                if not (tag[i] or tag[j]) and not (w[0].isupper() and v[0].isupper()):
                     continue
                 gap = text[b:c]
                 plain, comma, dot = gap in (" ", "  ", "\n") and j == i + 1, gap == ", ", j == i + 2 or (len(w) == 1 and gap in (". ", ".", " "))
@@ -182,6 +182,12 @@ class Segmenter:
         two = "init" if len(v) == 1 else u or "?"
         shapes = shape(w) + shape(v)
         f = ["bias", f"tags={one}|{two}", f"tags={one}|{two}|{gap}", f"gap={gap}", f"shape={shapes}", f"ts={one}|{two}|{shapes}", "hyphen" if "-" in v or "-" in w else "single"]
+        low = w.lower(), v.lower()
+        if not (t and u):
+            f += [f"w={low[0]}", f"v={low[1]}", f"{'function' if low[0] in _FUNCTION or low[1] in _FUNCTION else 'content'}|{shapes}"]
+        if not (t or u):
+            f += ["unlisted", f"unlisted|{shapes}|{gap}"]
+            f += [f"unlisted|{gap}|{x}" for x in self.context(text, a, b)]
         f += [f"{x}|{one}|{two}" for x in self.context(text, a, b)[:3]] + self.context(text, a, b)
         nxt = _NAME_WORD.match(text, b + 1) if text[b : b + 1] == " " else None
         f.append("next=" + (shape(nxt.group()) if nxt else "none"))
@@ -276,10 +282,7 @@ def training_texts(given: list[str], family: list[str], count: int, rng: random.
         return coined() if rng.random() < 0.3 else rng.choice(pool)
 
     def name() -> str:
-        while True:
-            g, f = part(given), part(family)
-            if g in given or f in family:
-                break
+        g, f = part(given), part(family)
         if rng.random() < 0.25:
             f += "-" + part(family)
         kind = rng.random()
@@ -325,8 +328,21 @@ def training_texts(given: list[str], family: list[str], count: int, rng: random.
         return s + rng.choice(("", "", f", {t}", f", {digits(5)} {t}"))
 
     fill = {"NAME": name, "EMAIL": mail, "PHONE": phone, "ID_NUMBER": number, "ADDRESS": street}
+    small = sorted(_FUNCTION)
+    nouns = ("Adapter", "Antrag", "Bestellung", "Dienst", "Index", "Kopie", "Konnektor", "Kunde", "Modul", "Partition", "Projekt", "Prüfung", "Rechnung", "Standort", "Tarif", "Team", "Version", "Vertrag")
+    heads = ("Access", "Audit", "Data", "Head", "Index", "Monthly", "Notes", "Open", "Platform", "Quarterly", "Query", "Release", "Report", "Review", "Support", "Team", "VP", "Weekly")
+
+    def compound() -> str:
+        return rng.choice((rng.choice(nouns), rng.choice(nouns) + rng.choice(nouns).lower(), coined() + rng.choice(nouns).lower()))
+
     fakes = {
         "word": coined,
+        "opener": lambda: f"{rng.choice(small).capitalize()} {coined()}",
+        "noun": lambda: f"{compound()} {coined() if rng.random() < 0.6 else rng.choice(given + family + list(heads))}",
+        "plain": lambda: " ".join(rng.choice((coined().lower(), rng.choice(small), rng.choice(given + family).lower())) for _ in range(4)),
+        "german": lambda: f"{rng.choice(('Auf', 'Bei', 'Das', 'Der', 'Die', 'Für', 'Im', 'Jede', 'Seit', 'Unser', 'Unter'))} {rng.choice(nouns)}",
+        "title": lambda: " ".join(rng.choice(heads) for _ in range(rng.choice((1, 2, 3)))),
+        "caps": lambda: " ".join(rng.choice((coined(), rng.choice(heads), rng.choice(small))).upper() for _ in range(rng.choice((3, 5, 7)))),
         "product": lambda: f"{rng.choice(given + family)} {rng.choice(('Harbor', 'Court', 'Suite', 'Cloud', 'Console', 'Engine', 'Bridge', 'Release', 'Pilot'))}",
         "twin": lambda: f"{rng.choice(family)} {rng.choice(('adapter', 'account', 'gateway', 'template', 'office', 'site', 'queue', 'team'))}",
         "build": lambda: f"20{digits(2)}.{rng.randint(1, 12):02d}.{rng.randint(1, 28):02d}.{digits(4)}",
@@ -351,12 +367,15 @@ def training_texts(given: list[str], family: list[str], count: int, rng: random.
         "Le passeport de {NAME} ({ID_NUMBER}) a expiré.", "El pase de {NAME} ({ID_NUMBER}) ha caducado.", "Der Ausweis von {NAME} ({ID_NUMBER}) ist abgelaufen.", "Bitte vor Mittag {PHONE} anrufen.", "Llamar al {PHONE} antes del mediodía.", "Appeler le {PHONE} avant midi.", "Call {PHONE} before noon.",
         "Send the signed form to {EMAIL} before the audit.", "Das Formular geht an {EMAIL}.", "Envoyer le formulaire signé à {EMAIL}.", "Ship replacement hardware to {ADDRESS}.", "Das Gerät geht an {ADDRESS}.", "Livrer le matériel au {ADDRESS}.", "Enviar el equipo a {ADDRESS}.", "{NAME} checked in under passport {ID_NUMBER}.", "Before noon {NAME} will move out of {ADDRESS}.",
         "Our records list {NAME} under passport {ID_NUMBER}.", "Interview notes: {NAME} moved from {ADDRESS} in spring.", "The lease at {ADDRESS} ends when {NAME} and {NAME} move out.", "Ersatzgeräte bitte an {ADDRESS} zu Händen von {NAME}.", "Contacto: {NAME}, {ADDRESS}.", "Contact : {NAME}, {ADDRESS}.", "Ansprechperson: {NAME}, {ADDRESS}.",
-        "Invoices still go to {ADDRESS}.", "La factura sigue llegando a {ADDRESS}.", "La facture part toujours au {ADDRESS}.", "Best regards,\n{NAME}\n{PHONE}", "Cordialement,\n{NAME}\n{PHONE}", "It was {NAME} who found the leak, not {product}.", "Mme {NAME} a confirmé le remboursement.", "Frau {NAME} hat die Erstattung bestätigt.", "La doctora {NAME} confirmó el reembolso.", "{NAME} et {NAME} ont relu le plan.", "Die Zahlung ging auf {ID_NUMBER} ein.", "Ship replacement hardware to {ADDRESS} and mark it for {NAME}.",
+        "Invoices still go to {ADDRESS}.", "La factura sigue llegando a {ADDRESS}.", "La facture part toujours au {ADDRESS}.", "Best regards,\n{NAME}\n{PHONE}", "Cordialement,\n{NAME}\n{PHONE}", "It was {NAME} who found the leak, not {product}.", "Mme {NAME} a confirmé le remboursement.", "Dr. {NAME} confirmed the refund.", "Frau {NAME} hat die Erstattung bestätigt.", "La doctora {NAME} confirmó el reembolso.", "{NAME} et {NAME} ont relu le plan.", "Die Zahlung ging auf {ID_NUMBER} ein.", "Ship replacement hardware to {ADDRESS} and mark it for {NAME}.",
         "Ask {word} at {ADDRESS} when {NAME} is out.",
     ]
     empty = [
         "Build {build} passed on the second try.", "Price range {range} applies to seats 17-76.", "Mention @{word} in the thread if the counter passes {count}.", "Ask {word} on {host} for the shell log.", "Ticket {ticket} duplicates ticket {ticket}.", "{stamp} WARN the {word} table", "{product} is the code name of the {word} pilot.",
         "{word} and the VP Platform share offset {offset}.", "Trace {trace} was closed without action.", "Invoice {trace} covers {offset} rows.", "The {twin} archives the pending tickets.", "Order {bad} was returned.", "Since release {version} the {word} cache reads all edges into {word}.", "The {word} gateway keeps {order} rows.", "Version {version} of {word} replaces {twin}.", "The community summary for {word} reads the {twin}.", "Under load, {word} merges the {product} terms.", "The {product} release train leaves on Friday.", "A tenant admin at {word} counts 319 expense lines after 94 failed attempts.", "See also {word}, {word}", "Next: {word}",
+        "{opener} gateway keeps the rows of {title}.", "{opener} is disabled, and {opener} environments stay on version {version}.", "{german} prüft {noun} vor dem Mittag, und {german} liest {noun}.", "{german} {word} erneuert den Plan, außer wenn {noun} wartet.", "{caps}\n{opener} service counts all rows.", "# {title}\n{opener} team skips a row.",
+        "# {title} {word}\n{german} {word} liest.", "At the request of {word}, {word} caps every document.", "The questions mention {word}\n{opener} queue is empty.", "<b>{caps}</b> {german} sortiert die Zeilen.", "{caps}.", "{german} vergleicht den {noun} nach den {noun}, sofern {noun} am {noun} wartet.", "Fragen zu {word}, {plain}, und {plain} in {word}, {plain}.", "Für Umgebungen von {word} {word} prüft {german} den {noun}, auf Wunsch von {word} {word} auch mehr.",
+        "À la demande de {word}, {word} plafonne le {title}.", "Para los entornos de {word}, {word} publica el plan de {word}.", "En el plan {title}, {word} cuenta; con {title}, {word} no.", "Avec le forfait {title}, {word} compte, et L'adaptateur {word} publie.", "A parcel for the {title} of {word} was returned.", "A. {opener} limit holds. B. {title} follows.",
     ]
     out = []
     slot = re.compile(r"\{(\w+)\}")

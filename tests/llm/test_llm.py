@@ -171,6 +171,14 @@ def test_personal_data(spark):
     assert out == {"a": "Signed, [NAME]. Mail [EMAIL]", "b": None, "c": ""}
 
 
+def test_names_without_a_listed_part_are_found():
+    segmenter, model = personal_data.trained(["Alba", "Brenn"], ["Torvik", "Queld"])
+    for text, name in (("Signed, V. Medzork.", "V. Medzork"), ("Thanks to Vuck Haezeclad for the patch.", "Vuck Haezeclad"), ("Dank an Kenquyx Dreinex für die Korrektur.", "Kenquyx Dreinex"), ("Signed, alba medzork.", "alba medzork")):
+        assert personal_data.found_in(text, segmenter, model) == [(text.index(name), text.index(name) + len(name), "NAME")]
+    for text in ("The Rolnir gateway keeps the rows.", "Der Konnektor Drythzeid liest die Zeilen.", "# Quarterly Report\nWhen Misquun is disabled, the team waits."):
+        assert personal_data.found_in(text, segmenter, model) == []
+
+
 def test_packing(spark):
     rng = random.Random(6)
     sizes = [rng.choice([rng.randint(1, 60), 512, 700, 0]) for _ in range(800)]
