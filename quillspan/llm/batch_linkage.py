@@ -1,8 +1,8 @@
 """Problem 5: new batches checked against everything accepted so far (incremental record linkage).
 
 The accepted side is a persisted table of blocking keys: the leading shingles of every class of equal texts. A batch only
-probes that table with its own keys, scores the candidate pairs field by field with learned agreement weights, checks the
-surviving pairs exactly and updates the clusters that the batch touches. The history's texts are read again only for the
+probes that table with its own keys, scores the candidate pairs field by field with learned agreement weights, checks all
+of them exactly and updates the clusters that the batch touches. The history's texts are read again only for the
 few candidates that need the exact check.
 """
 
@@ -19,9 +19,7 @@ from quillspan.sources.tables import table
 THRESHOLD = 0.7
 WIDTH = 3
 MIN_TOKENS = 20
-#: Candidates whose learned score says that they differ in every field are dropped below this log-odds; the exact check
-#: decides the rest. The value lies under the score of any pair that the size bounds let through.
-LOWEST_SCORE = -30.0
+
 
 
 def agreement_weights(patterns: list[tuple[tuple[int, ...], int]], levels: tuple[int, ...], rounds: int = 25) -> tuple[float, list[np.ndarray]]:
@@ -135,7 +133,7 @@ def link_batches(records: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     met = having_bits(history, id_bitmap(fresh.select("h")))
     pairs = meeting_pairs(met, fresh, threshold, lambda a, b: a.cid_a != b.cid_b).unionByName(meeting_pairs(fresh, fresh, threshold, lambda a, b: a.cid_a < b.cid_b))
     pairs = spool(in_order(bounded(pairs.distinct(), members, threshold), kept))
-    candidates = scored(pairs, kept).where(F.col("score") >= LOWEST_SCORE)
+    candidates = scored(pairs, kept)  # the score goes with each pair and decides nothing: all are checked exactly
     wanted = id_bitmap(candidates.select(F.explode(F.array("cid_a", "cid_b"))))
     links = spool(verified(candidates, whole_sets(records.select("text"), WIDTH, MIN_TOKENS, wanted), threshold))
     accepted = accept_in_order(kept, links.select(F.col("cid_a").alias("first"), F.col("cid_b").alias("second")))

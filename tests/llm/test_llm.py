@@ -90,6 +90,13 @@ def test_class_that_shares_a_bit_with_a_copied_one_keeps_its_links(spark):
     assert {(r.doc_id_a, r.doc_id_b) for r in batch_linkage.link_batches(df)[0].collect()} == {(3, 4)}
 
 
+def test_learned_score_drops_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(batch_linkage, "agreement_weights", lambda patterns, levels: (-1000.0, [np.zeros(n) for n in levels]))
+    text = " ".join(f"t{i}" for i in range(30))
+    df = spark.createDataFrame([(1, 0, "x", "s", text), (2, 1, "y", "t", text + " more")], "doc_id long, batch_no int, checksum string, source string, text string")
+    assert [(r.doc_id_a, r.doc_id_b) for r in batch_linkage.link_batches(df)[0].collect()] == [(1, 2)]
+
+
 def test_pieces_cover_the_text(spark, tmp_path):
     rng = random.Random(3)
     text = "".join(rng.choice(["wörd ", "end. ", "line\n", "para\n\n", "x" * 40]) for _ in range(3000))
