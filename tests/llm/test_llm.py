@@ -152,6 +152,15 @@ def test_markup_held_out():
     assert markup.labelled("", False, chain) == []
 
 
+def test_leaf_blocks_do_not_depend_on_length():
+    kinds = lambda text: [x.kind for x in markup.leaves(text)]
+    assert kinds("**word** " * 80 + "a { b").count("odd") == 1
+    long = "x_1 + " * 150 + "y"
+    assert "math" in kinds(f"so ${long}$ holds") and "math" in kinds(f"so \\({long}\\) holds")
+    assert "display" in kinds(f"so\n$${long}$$\nholds") and "display" in kinds(f"so\n\\[{long}\\]\nholds")
+    assert "display" not in kinds("costs $$ here\n\nand $$ there")
+
+
 def test_pair_defects(spark):
     q = "How long does Foo keep the logs?"
     cases = [("a", q, "It keeps them for 9 days.", None, ""), ("b", q, None, None, ""), ("c", q, "TBD", None, ""), ("d", q, q.upper(), None, ""), ("e", q, "I'm sorry, but I can't help with that.", None, ""),
