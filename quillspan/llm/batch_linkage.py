@@ -1,9 +1,9 @@
-"""Problem 5: new batches checked against everything accepted so far (incremental record linkage).
+"""Problem 5: new batches checked against everything accepted so far (record linkage).
 
-The accepted side is a persisted table of blocking keys: the leading shingles of every class of equal texts. A batch only
-probes that table with its own keys, scores the candidate pairs field by field with learned agreement weights, checks all
-of them exactly and updates the clusters that the batch touches. The history's texts are read again only for the
-few candidates that need the exact check.
+The history's blocking keys are spooled in a call: the leading shingles of every class of equal texts. The batches probe
+them with their own keys, candidate pairs are scored field by field with learned agreement weights, all of them are checked
+exactly, and documents are accepted in order. No state outlives a call: each call takes the history and all batches and
+shingles every text again, so this stands in for a persisted key table that single batches would be linked against.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ WIDTH = 3
 MIN_TOKENS = 20
 
 
-
 def agreement_weights(patterns: list[tuple[tuple[int, ...], int]], levels: tuple[int, ...], rounds: int = 25) -> tuple[float, list[np.ndarray]]:
     """Fellegi-Sunter weights by expectation-maximization.
 
