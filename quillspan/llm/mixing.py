@@ -71,12 +71,16 @@ def rates(totals: dict[str, int], targets: dict[str, tuple[float, int]], size: f
     return {s: (min(MOST * r, w / weight * size / totals[s]), r, w / weight) for s, (w, r) in live.items()}
 
 
-def mix(items: DataFrame, targets: DataFrame, size: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(items: DataFrame, targets: DataFrame, size: float | None = None, seed: int = SEED, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """items(key, source, n_tokens), targets(source, target_share, max_repeats) -> (mixture, shares).
 
+    With `whole` the size is that of all tokens of the targeted sources: small sources stop at MOST of their cap, and the
+    mixture is smaller than that by what they fall short.
+
     mixture(key, source, copy_no, n_tokens, place): every repeat of a document, in a global random order by place.
-    shares(source, target_share, wanted_share, actual_share, tokens, documents, most_repeats): what came out; target
-    sources that no document has are reported with a share of 0, and their share is spread over the rest.
+    shares(source, target_share, wanted_share, tokens, documents, most_repeats, actual_share, source_tokens, at_cap,
+    mixture_of_targeted): what came out, the tokens that the source has, whether its cap binds, and the mixture's size
+    over the tokens of all targeted sources; target sources that no document has are reported with a share of 0, and their share is spread over the rest.
 
     Sources are compared without case and outer blanks; documents of null or untargeted sources, and those of no tokens,
     are not part of the mixture; of a source with several targets the smallest row counts; null targets count as 0.
@@ -85,6 +89,8 @@ def mix(items: DataFrame, targets: DataFrame, size: float | None = None, seed: i
     wanted = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.select(source_name("source").alias("source"), "target_share", "max_repeats").where("source is not null").groupBy("source").agg(F.min("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")).collect()}
     own = items.select("key", source_name("source").alias("source"), "n_tokens").where((F.col("n_tokens") > 0) & F.col("source").isin(list(wanted)))
     totals = {r.source: r.n for r in own.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # a row per target
+    if whole:
+        size = float(sum(totals[s] for s in rates(totals, wanted)))
     planned = rates(totals, wanted, size)
     unit = (F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 11).cast("double")) / float(1 << 53)
     fields = "source string, mean double, cap int, bounds array<double>, goal double"
@@ -103,12 +109,14 @@ def mix(items: DataFrame, targets: DataFrame, size: float | None = None, seed: i
     repeated = drawn.join(F.broadcast(shifts), "source").withColumn("times", count(F.col("shift"))).where("times > 0")
     copies = repeated.select("key", "source", "n_tokens", F.explode(F.sequence(F.lit(1), "times")).alias("copy_no"))
     mixture = copies.withColumn("place", F.xxhash64("key", "copy_no", F.lit(seed + 1))).select("key", "source", "copy_no", "n_tokens", "place")
-    known = spark.createDataFrame([(s, w, planned.get(s, (0, 0, 0.0))[2]) for s, (w, _) in wanted.items()], "source string, target_share double, wanted_share double")
+    bound = lambda s: s in planned and planned[s][0] >= MOST * planned[s][1] - 1e-9
+    known = spark.createDataFrame([(s, w, planned.get(s, (0, 0, 0.0))[2], totals.get(s, 0), bound(s)) for s, (w, _) in wanted.items()], "source string, target_share double, wanted_share double, source_tokens bigint, at_cap boolean")
     by = repeated.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.sum("times").alias("documents"), F.max("times").alias("most_repeats"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    shares = known.join(by, "source", "left").select("source", "target_share", F.round("wanted_share", 6).alias("wanted_share"), zero("tokens"), zero("documents"), zero("most_repeats"))
-    whole = F.sum("tokens").over(Window.partitionBy())  # a row per target
-    return mixture, shares.withColumn("actual_share", F.round(F.try_divide("tokens", whole), 6))
+    shares = known.join(by, "source", "left").select("source", "target_share", F.round("wanted_share", 6).alias("wanted_share"), zero("tokens"), zero("documents"), zero("most_repeats"), "source_tokens", "at_cap")
+    over = lambda c: F.sum(c).over(Window.partitionBy())  # noqa: E731  a row per target
+    shares = shares.withColumn("actual_share", F.round(F.try_divide("tokens", over("tokens")), 6))
+    return mixture, shares.withColumn("mixture_of_targeted", F.round(F.try_divide(over("tokens"), over("source_tokens")), 6))
 
 
 def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +126,10 @@ def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """Every repeat of every document of the mixture, globally shuffled."""
-    mixture, _ = mix(*_inputs(spark, folder))
+    return _shuffled(spark, mix(*_inputs(spark, folder))[0])
+
+
+def _shuffled(spark: SparkSession, mixture: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return mixture.withColumnRenamed("key", "doc_id").repartitionByRange(parts, "place").sortWithinPartitions("place")
 
@@ -128,5 +139,15 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix(*_inputs(spark, folder))[1]
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p9_whole_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """p9_mixture at the size of all targeted tokens; small sources stop at their cap."""
+    return _shuffled(spark, mix(*_inputs(spark, folder), whole=True)[0])
+
+
+def p9_whole_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in p9_whole_mixture."""
+    return mix(*_inputs(spark, folder), whole=True)[1]
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_whole_mixture": p9_whole_mixture, "p9_whole_shares": p9_whole_shares}
 ORACLES: dict[str, str] = {}

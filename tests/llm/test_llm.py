@@ -218,6 +218,16 @@ def test_mixing(spark):
     assert abs(mixing.capped_mean(mixing.rate_for(1.7, 3), 3) - 1.7) < 1e-6
 
 
+def test_mixing_whole_size(spark):
+    items = spark.createDataFrame([(i, "big", 10) for i in range(2000)] + [(9000 + i, "tiny", 10) for i in range(20)], "key long, source string, n_tokens int")
+    targets = spark.createDataFrame([("big", 0.8, 2), ("tiny", 0.2, 2)], "source string, target_share double, max_repeats int")
+    small = {r.source: r for r in mixing.mix(items, targets)[1].collect()}
+    assert small["tiny"].at_cap and small["big"].mixture_of_targeted < 0.12
+    whole = {r.source: r for r in mixing.mix(items, targets, whole=True)[1].collect()}
+    assert whole["tiny"].at_cap and not whole["big"].at_cap and whole["big"].source_tokens == 20_000
+    assert whole["big"].mixture_of_targeted > 0.75 and whole["tiny"].most_repeats <= 2
+
+
 def test_truncation(spark):
     rng = random.Random(7)
     full = [" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(12)).capitalize() + "." for _ in range(400)]
