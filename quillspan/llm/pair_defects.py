@@ -19,7 +19,7 @@ from quillspan.plans.spool import spool
 from quillspan.sources.tables import table
 
 DEFECTS = ("empty", "truncated", "refusal", "echo", "language", "dependent")
-#: Posterior above which a defect is kept; chosen so that held-out pairs built with known defects are told apart.
+#: Posterior above which a defect is kept, the same for all; not chosen on labelled pairs, of which there are none.
 CUTOFF = 0.5
 #: Defects in the order in which one is named where only one may be.
 PRECEDENCE = ("empty", "refusal", "echo", "language", "truncated", "dependent")
