@@ -327,5 +327,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("key", "other").alias("chunk_id_a"), F.greatest("key", "other").alias("chunk_id_b")).distinct()
 
 
-QUERIES = {"p3_found": p3_found}
+def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar chunks of every usable embedding, however far they are."""
+    near = nearest(table(spark, folder, "chunks").select(F.col("chunk_id").alias("key"), "embedding"), least=-1.0)
+    return near.select(F.col("key").alias("chunk_id"), F.col("other").alias("near_chunk_id"), "similarity", "place")
+
+
+QUERIES = {"p3_found": p3_found, "p3_nearest": p3_nearest}
 ORACLES: dict[str, str] = {}

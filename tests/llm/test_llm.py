@@ -137,6 +137,18 @@ def test_neighbors_recall(spark):
     assert neighbors.nearest(df.limit(0)).count() == 0
 
 
+def test_every_vector_has_its_ten_nearest(spark, tmp_path):
+    x = np.random.default_rng(8).standard_normal((200, 64))
+    rows = [(f"v{i:03d}", [float(a) for a in v]) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "chunk_id string, embedding array<float>").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r.chunk_id, r.near_chunk_id) for r in neighbors.QUERIES["p3_nearest"](spark, str(tmp_path)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    want = {(f"v{i:03d}", f"v{j:03d}") for i in range(200) for j in np.argsort(-sim[i])[:10]}
+    assert len(got) == 2000 and len(got & want) >= 0.9 * len(want)
+
+
 def test_markup_held_out():
     chain, right = markup.trained(), 0
     pages = markup.labelled_pages(120, random.Random(77))
