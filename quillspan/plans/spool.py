@@ -1,7 +1,13 @@
-"""Cutting lineage with tables written to the folder that all executors share."""
+"""Cutting lineage with tables written to the folder that all executors share.
+
+Every table that an application spools lies in one folder of its own, `<spark.checkpoint.dir>/quillspan-<application id>`;
+that folder is the owner of its tables. `discard` deletes a table as soon as it has been read for the last time, and
+`drop_spools` deletes the folder.
+"""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -9,23 +15,59 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir. Only a session that runs in one process may go without: it gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quillspan-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def spool(df: DataFrame, *partition_by: str) -> DataFrame:
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/quillspan-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, kind: str = "spool") -> str:
+    return f"{own_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def spool(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
     """Write `df` as parquet into the shared folder and return a scan of it.
 
     The result no longer depends on executors' shuffle files, so it survives their loss, and several readers of it
     don't compute it again.
     """
-    path = f"{shared_folder(df.sparkSession)}/spool-{uuid.uuid4().hex}"
+    path = path or new_path(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._spooled = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete spooled tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_spooled", None):
+            delete(t.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to: it learns of them by a collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop_spools(spark: SparkSession) -> None:
+    """Delete everything that this application has spooled."""
+    delete(spark, own_folder(spark))
