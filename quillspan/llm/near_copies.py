@@ -12,37 +12,53 @@ from quillspan.sources.tables import table
 THRESHOLD = 0.6
 WIDTH = 3
 MIN_TOKENS = 20
-#: Copies of one text are paired with one another up to this class size; larger classes are paired with their
-#: representative (the smallest key), which keeps the pairs linear in the rows and loses no link between different texts.
+#: Copies of one text are paired with one another up to this group size.
 EXPAND = 32
 
 
-def near_copy_pairs(rows: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, min_tokens: int = MIN_TOKENS, expand: int = EXPAND) -> DataFrame:
-    """rows(key, text) -> (key_a, key_b, similarity), key_a < key_b.
+def near_copy_groups(rows: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows(key, text) -> (membership, links, degrees).
+
+    membership(key, representative): each key whose text takes part and the smallest key with the same shingle set.
+    links(key_a, key_b, similarity): pairs of representatives at or above the threshold, key_a < key_b. degrees(key,
+    representative, copies, links): for each member the other rows with its set and the links of its representative.
 
-    Null, empty and short texts (under `min_tokens` tokens) have no pairs; repeated rows of one key count once; an empty
-    table gives an empty result. Texts with the same shingle set are copies (similarity 1): classes of at most `expand`
-    copies are written out in all pairs, larger ones as pairs with the class representative.
+    Null, empty and short texts (under `min_tokens` tokens) are no members; repeated rows of one key count once (with
+    different texts once for each); an empty table gives empty results.
     """
     members, links = similar_classes(rows, threshold, width, min_tokens)
-    members = members.dropDuplicates(["key", "cid"])
-    sizes = members.groupBy("cid").agg(F.count("*").alias("copies"), F.min("key").alias("rep"))
-    spread = members.join(sizes, "cid")
-    shown = spool(spread.where((F.col("copies") <= expand) | (F.col("key") == F.col("rep"))).select("cid", "key"))
-    a = shown.select(F.col("cid").alias("cid_a"), F.col("key").alias("x"))
-    b = shown.select(F.col("cid").alias("cid_b"), F.col("key").alias("y"))
-    across = links.select("cid_a", "cid_b", "similarity").join(a, "cid_a").join(b, "cid_b").select("x", "y", "similarity")
-    twin = shown.select("cid", F.col("key").alias("y"))
-    small = shown.select("cid", F.col("key").alias("x")).join(twin, "cid").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
-    large = spread.where((F.col("copies") > expand) & (F.col("key") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("key").alias("y"), F.lit(1.0).alias("similarity"))
-    every = across.unionByName(small).unionByName(large).where("x != y")
-    return every.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), "similarity")
+    members = members.dropDuplicates(["key", "did"])
+    classes = spool(members.groupBy("did").agg(F.min("key").alias("representative"), (F.count("*") - 1).alias("copies")))
+    a = classes.select(F.col("did").alias("a"), F.col("representative").alias("x"))
+    b = classes.select(F.col("did").alias("b"), F.col("representative").alias("y"))
+    named = spool(links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), "similarity"))
+    membership = spool(members.join(classes, "did").select("key", "representative", "copies"))
+    number = named.select(F.explode(F.array("key_a", "key_b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
+    degrees = membership.join(number, "representative", "left").select("key", "representative", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return membership.select("key", "representative"), named, degrees
 
 
-def near_copy_degrees(rows: DataFrame, **options) -> DataFrame:
-    """(key, links): for each row that has a near copy, the number of its links in near_copy_pairs."""
-    pairs = near_copy_pairs(rows, **options)
-    return pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
+def near_copy_pairs(rows: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, min_tokens: int = MIN_TOKENS, expand: int = EXPAND) -> DataFrame:
+    """rows(key, text) -> (key_a, key_b, similarity), key_a < key_b: pairs of keys.
+
+    Groups of at most `expand` copies are written out, within and across groups; a larger group shows its other members
+    only as pairs with its representative, which keeps the rows linear in the copies, and `near_copy_groups` is the
+    membership to read them with. No link between different texts is lost. Null, empty, short and repeated rows and
+    empty tables are treated as in `near_copy_groups`.
+    """
+    members, links = similar_classes(rows, threshold, width, min_tokens)
+    members = members.dropDuplicates(["key", "did"])
+    classes = members.groupBy("did").agg(F.count("*").alias("copies"), F.min("key").alias("representative"))
+    spread = spool(members.join(classes, "did"))
+    shown = spread.where((F.col("copies") <= expand) | (F.col("key") == F.col("representative")))
+    a = shown.select(F.col("did").alias("a"), F.col("key").alias("x"))
+    b = shown.select(F.col("did").alias("b"), F.col("key").alias("y"))
+    across = links.join(a, "a").join(b, "b").select("x", "y", "similarity")
+    copied = shown.where("copies > 1")
+    within = copied.select("did", F.col("key").alias("x")).join(copied.select("did", F.col("key").alias("y")), "did").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    star = spread.where((F.col("copies") > expand) & (F.col("key") != F.col("representative"))).select(F.col("representative").alias("x"), F.col("key").alias("y"), F.lit(1.0).alias("similarity"))
+    every = across.unionByName(within).unionByName(star).where("x != y")
+    return every.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), "similarity")
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,5 +71,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_copy_pairs(_chunks(spark, folder)).select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk that takes part: its group of copies, how many copies it has and how many other groups are similar."""
+    return near_copy_groups(_chunks(spark, folder))[2].withColumnRenamed("key", "chunk_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
 ORACLES: dict[str, str] = {}

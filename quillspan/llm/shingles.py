@@ -1,7 +1,7 @@
 """Token shingles of texts as sets of 64-bit hashes, computed in Arrow batches.
 
-Tokens are maximal runs of letters or digits of the lower-cased text. A shingle is `width` consecutive tokens; its hash
-mixes the tokens' 64-bit hashes in order, so a set of shingles is a sorted array of distinct 64-bit numbers.
+Tokens are maximal runs of letters or digits of the lower-cased text. A shingle is `width` consecutive tokens; its number
+mixes the tokens' 64-bit hashes in order and keeps BITS bits, so a set of shingles is a sorted array of distinct numbers.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ import xxhash
 
 TOKEN = re.compile(r"[^\W_]+")
 CACHE_LIMIT = 200_000
+#: Bits of a shingle's number: two texts of 1,000 shingles share one by chance in about one of 280 million pairs.
+BITS = 48
+_KEPT = np.uint64(64 - BITS)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -43,7 +46,7 @@ def shingle_set(text: str | None, width: int, min_tokens: int, hashes: TokenHash
         h ^= h >> np.uint64(29)
     h *= _B
     h ^= h >> np.uint64(32)
-    return np.unique(h)
+    return np.unique(h >> _KEPT)
 
 
 class Sets:
@@ -62,11 +65,23 @@ class Sets:
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.at)), self.sizes)
 
-    def arrow(self, picked: list[int]) -> pa.ListArray:
-        """An Arrow list<int64> column of the picked sets."""
-        offsets = np.concatenate([[0], np.cumsum(self.sizes[picked])]).astype(np.int32) if picked else np.zeros(1, np.int32)
-        values = np.concatenate([self[i] for i in picked]).view(np.int64) if picked else np.empty(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    def packed(self) -> list[bytes]:
+        """Each set as bytes: the lowest bytes of its numbers, then the next ones, which compress better side by side."""
+        planes = np.ascontiguousarray(self.values.view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T)
+        return [planes[:, a:b].tobytes() for a, b in zip(self.offsets[:-1], self.offsets[1:], strict=True)]
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    """The set that `Sets.packed` made the bytes of."""
+    planes = np.frombuffer(packed, np.uint8).reshape(BITS // 8, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : BITS // 8] = planes.T
+    return wide.view(np.uint64).ravel()
+
+
+def sets_from(packed: list[bytes]) -> Sets:
+    values = [unpacked(x) for x in packed]
+    return Sets(list(range(len(values))), np.concatenate(values) if values else np.empty(0, np.uint64), np.array([len(x) for x in values], np.int64))
 
 
 def shingle_sets(texts: list[str | None], width: int, min_tokens: int, hashes: TokenHashes) -> Sets:
@@ -90,6 +105,7 @@ def shingle_sets(texts: list[str | None], width: int, min_tokens: int, hashes: T
         h ^= h >> np.uint64(29)
     h *= _B
     h ^= h >> np.uint64(32)
+    h >>= _KEPT
     doc = np.repeat(np.arange(len(n)), n)[: len(h)]
     inside = np.ones(len(h), dtype=bool)
     ends = np.cumsum(n)[:-1]

@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspan.llm import batch_linkage, markup, mixing, near_copies, neighbors, overlap_join, packing, pair_defects, personal_data, shingles, splitting, truncation
+from quillspan.llm import batch_linkage, markup, mixing, near_copies, neighbors, overlap_join, packing, pair_defects, personal_data, splitting, truncation
 
 
 def sets(texts):
@@ -46,16 +46,41 @@ def test_near_copies_match_brute_force(spark):
     assert near_copies.near_copy_pairs(df.limit(0)).count() == 0
 
 
+def test_groups_say_the_same_as_pairs(spark):
+    texts = corpus(4, 60)
+    texts |= {f"c{i}": texts["k000"] for i in range(9)}
+    df = spark.createDataFrame(list(texts.items()), "key string, text string")
+    s = sets(texts)
+    want = {(a, b) for a, b in itertools.combinations(sorted(s), 2) if jaccard(s[a], s[b]) >= 0.6}
+    membership, links, degrees = near_copies.near_copy_groups(df)
+    rep = {r.key: r.representative for r in membership.collect()}
+    linked = {(r.key_a, r.key_b) for r in links.collect()}
+    assert {(a, b) for a, b in itertools.combinations(sorted(s), 2) if rep[a] == rep[b] or tuple(sorted((rep[a], rep[b]))) in linked} == want
+    assert {r.key: r.copies for r in degrees.collect()}["c0"] == sum(s[k] == s["c0"] for k in s) - 1
+
+
 def test_large_classes_are_linked_to_their_representative(spark):
     text = " ".join(f"t{i}" for i in range(30))
     df = spark.createDataFrame([(f"c{i:02d}", text) for i in range(20)], "key string, text string")
     assert near_copies.near_copy_pairs(df, expand=5).count() == 19
 
 
-def test_batches_match_one_by_one_check(spark):
-    texts = list(corpus(2, 100).values())
-    data = [(i, i // 25, None, "s", t) for i, t in enumerate(texts)] + [(1000, 2, None, None, None)]
-    df = spark.createDataFrame(data, "doc_id long, batch_no int, checksum string, source string, text string")
+def test_keys_with_many_rows_are_cut_into_tiles(spark, monkeypatch):
+    texts = {f"k{i:02d}": " ".join(f"w{j}" for j in range(40)) + f" end{i} stop{i}" for i in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "key string, text string")
+    monkeypatch.setattr(overlap_join, "TILE", 7)
+    assert near_copies.near_copy_pairs(df).count() == 30 * 29 // 2
+
+
+def test_many_ids_are_joined_instead_of_sent(spark, monkeypatch):
+    monkeypatch.setattr(overlap_join, "SENT", 0)
+    test_near_copies_match_brute_force(spark)
+
+
+BATCH = "doc_id long, batch_no int, checksum string, source string, text string"
+
+
+def one_by_one(data):
     s = sets({i: t for i, _, _, _, t in data})
     accepted, want = [], {}
     for i, b, *_ in data:
@@ -65,36 +90,50 @@ def test_batches_match_one_by_one_check(spark):
                 want[i] = min(hits)
             else:
                 accepted.append(i)
-    found, reps = batch_linkage.link_batches(df)
-    assert {r.doc_id_b: r.doc_id_a for r in found.collect()} == want and want
-    assert reps.count() == len(s)
-
+    return want
 
-def texts_of_one_bit():
-    """Two different texts whose classes share a bit of the bitmaps."""
-    hashes, seen = shingles.TokenHashes(), {}
-    for i in itertools.count():
-        text = " ".join(f"{w}{i}" for w in "abcdefghijklmnopqrstuvwxyz")
-        bit = overlap_join.class_of(shingles.shingle_set(text, 3, 20, hashes)) % (overlap_join.BITMAP_BYTES * 8)
-        if bit in seen:
-            return seen[bit], text
-        seen[bit] = text
 
-
-def test_class_that_shares_a_bit_with_a_copied_one_keeps_its_links(spark):
-    copied, single = texts_of_one_bit()
-    data = [(1, 0, None, "s", copied), (2, 0, None, "s", copied), (3, 0, None, "s", single), (4, 1, None, "s", single + " more")]
-    df = spark.createDataFrame(data, "doc_id long, batch_no int, checksum string, source string, text string")
-    pairs = near_copies.near_copy_pairs(df.select(F.col("doc_id").cast("string").alias("key"), "text")).collect()
-    assert {(r.key_a, r.key_b) for r in pairs} == {("1", "2"), ("3", "4")}
-    assert {(r.doc_id_a, r.doc_id_b) for r in batch_linkage.link_batches(df)[0].collect()} == {(3, 4)}
+def test_batches_match_one_by_one_check(spark):
+    texts = list(corpus(2, 100).values())
+    data = [(i, i // 25, None, "s", t) for i, t in enumerate(texts)] + [(1000, 2, None, None, None), (1001, 3, None, None, "")]
+    want = one_by_one(sorted(data, key=lambda r: (r[1], r[0])))
+    found, index = batch_linkage.link_batches(spark.createDataFrame(data, BATCH), clusters=True)
+    assert {r.doc_id_b: r.doc_id_a for r in found.collect()} == want and want
+    filed = {r.doc_id: r for r in batch_linkage.best_heads(index).collect()}
+    assert set(filed) == set(want) and all(r.root <= r.head for r in filed.values())
+    links = {(r.doc_id, r.head) for r in index.read("links").collect()}
+    up = {}
+    find = lambda x: x if up.get(x, x) == x else find(up[x])
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    assert all(r.root == find(r.doc_id) for r in filed.values())
+
+
+def test_a_batch_does_not_read_the_texts_of_earlier_ones(spark, tmp_path):
+    texts = list(corpus(5, 60).values())
+    data = [(i, i // 20, None, "s", t) for i, t in enumerate(texts)]
+    index = batch_linkage.Index(spark, str(tmp_path / "index"))
+    batch_linkage.begin(index, spark.createDataFrame([r for r in data if r[1] == 0], BATCH))
+    found = {}
+    for b in (1, 2):  # opened anew each time: all that is known of the batches before lies in the folder
+        own = batch_linkage.Index(spark, str(tmp_path / "index"))
+        found |= {r.doc_id_b: r.doc_id_a for r in batch_linkage.accept(own, spark.createDataFrame([r for r in data if r[1] == b], BATCH), b).collect()}
+    assert found == one_by_one(data) and found
+
+
+def test_thinned_keys_keep_what_the_batch_has(spark, monkeypatch):
+    data = [(i, 0 if i < 40 else 1, None, "s", t) for i, t in enumerate(corpus(6, 60).values())]
+    monkeypatch.setattr(batch_linkage, "MOST_BYTES", 1)  # no bitmap: the whole key table is joined
+    assert {r.doc_id_b: r.doc_id_a for r in batch_linkage.link_batches(spark.createDataFrame(data, BATCH))[0].collect()} == one_by_one(data)
 
 
 def test_learned_score_drops_no_pair(spark, monkeypatch):
     monkeypatch.setattr(batch_linkage, "agreement_weights", lambda patterns, levels: (-1000.0, [np.zeros(n) for n in levels]))
     text = " ".join(f"t{i}" for i in range(30))
-    df = spark.createDataFrame([(1, 0, "x", "s", text), (2, 1, "y", "t", text + " more")], "doc_id long, batch_no int, checksum string, source string, text string")
+    df = spark.createDataFrame([(1, 0, "x", "s", text), (2, 1, "y", "t", text + " more")], BATCH)
     assert [(r.doc_id_a, r.doc_id_b) for r in batch_linkage.link_batches(df)[0].collect()] == [(1, 2)]
+    assert batch_linkage.link_batches(df.limit(0))[0].count() == 0
 
 
 def test_pieces_cover_the_text(spark, tmp_path):
