@@ -11,7 +11,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,6 +51,14 @@ def spool(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFra
     return out
 
 
+def counted(df: DataFrame, condition: Column | None = None, path: str | None = None) -> tuple[DataFrame, int]:
+    """`spool`, and the number of rows (that meet the condition), counted while they are written."""
+    seen = Observation()
+    n = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    out = spool(df.observe(seen, n.alias("n")), path=path)
+    return out, seen.get.get("n") or 0
+
+
 def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
