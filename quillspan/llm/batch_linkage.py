@@ -14,13 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.overlap_join import KEYS, accumulated, class_sets, multiplied, opened_keys, pack, packed_keys, ranges_for, verified, without
+from quillspan.llm.overlap_join import KEYS, SENT, accumulated, class_sets, multiplied, opened_keys, pack, packed_keys, ranges_for, verified, without
 from quillspan.operators.graph import components
 from quillspan.plans.folds import fold
-from quillspan.plans.spool import discard, new_path, release, spool
+from quillspan.plans.spool import counted, discard, new_path, release, spool
 from quillspan.sources.tables import table
 
 THRESHOLD = 0.7
@@ -28,6 +28,8 @@ WIDTH = 3
 MIN_TOKENS = 20
 #: Bits for each key of a batch in the bitmap that thins out the key table before it is shuffled, and its bytes at most.
 BITS_A_KEY = 16
+#: A batch of so few keys doesn't touch all buckets.
+SMALL = 1_000
 MOST_BYTES = 1 << 25
 
 
@@ -105,43 +107,50 @@ def _first_of_class(sets: DataFrame, batch_no: int) -> DataFrame:
     return first.select("c1", "c2", "x.did", "x.n", "x.doc_id", F.lit(batch_no).alias("batch_no"), F.lower("x.checksum").alias("checksum"), F.lower(F.trim("x.source")).alias("source"))
 
 
-def _shingled(index: Index, records: DataFrame, batch_no: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sets of the records (appended to the index), the class of each record, and the first record of each class."""
+def _shingled(index: Index, records: DataFrame, batch_no: int) -> tuple[DataFrame, DataFrame, int]:
+    """Sets of the records (appended to the index), the first record of each class, and how many of these there are."""
     some = records.select("doc_id", "checksum", "source", "text").where("doc_id is not null")
     seq = index.parts["sets"]
     sets, sketch = class_sets(some, WIDTH, MIN_TOKENS, seq, f"{index.path}/sets/part-{seq}", count=index.sketch is None)
     index.parts["sets"] += 1
-    firsts = spool(_first_of_class(sets, batch_no))
+    firsts, number = counted(_first_of_class(sets, batch_no))
     if index.sketch is None:
         index.fix_order(sketch, firsts.agg(F.sum("n")).first()[0] or 0)
-    return sets, sets.select("doc_id", "did", "c1", "c2"), firsts
+    return sets, firsts, number
 
 
-def _keys_of(index: Index, sets: DataFrame, firsts: DataFrame) -> DataFrame:
-    others = spool(sets.select("did").join(firsts.select("did"), "did", "left_anti"))
-    out = index.append("keys", packed_keys(without(sets.select("did", "members"), others), index.sketch, index.ranges, index.threshold).sortWithinPartitions("bucket"))
-    discard(others)
-    return out
+def _keys_of(index: Index, sets: DataFrame, firsts: DataFrame, number: int) -> tuple[DataFrame, int]:
+    """The first records' packed keys, appended to the index, and how many there are."""
+    if number <= SENT:
+        own, others = without(sets.select("did", "members"), firsts.select("did"), number, keep=True), None
+    else:  # copies are fewer
+        others, copies = counted(sets.select("did").join(firsts.select("did"), "did", "left_anti"))
+        own = without(sets.select("did", "members"), others, copies)
+    seen = Observation()
+    packed = packed_keys(own, index.sketch, index.ranges, index.threshold).observe(seen, F.sum("m").alias("m"))
+    out = index.append("keys", packed.sortWithinPartitions("bucket"))
+    if others is not None:
+        discard(others)
+    return out, seen.get.get("m") or 0
 
 
 def begin(index: Index, history: DataFrame) -> None:
     """history(doc_id, checksum, source, text): accepted as it is; the first part of an empty index."""
-    sets, _, firsts = _shingled(index, history, 0)
-    _keys_of(index, sets, firsts)
+    sets, firsts, number = _shingled(index, history, 0)
+    _keys_of(index, sets, firsts, number)
     index.append("classes", firsts.drop("c1", "c2"))
 
 
-def thinned(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The packed keys of `old` that may be among those of `new`, by a bitmap of fixed size; all, where `new` would fill it.
+def thinned(old: DataFrame, new: DataFrame, keys: int) -> DataFrame:
+    """The packed keys of `old` that may be among the `keys` of `new`, by a bitmap of fixed size; all, where `new` would fill it.
 
-    Only buckets that `new` has are read.
+    For a small batch only the buckets that it has are read.
     """
-    said = new.groupBy("bucket").agg(F.sum("m").alias("m")).collect()  # at most a row for each range
-    keys = sum(r.m for r in said)
     size = 1 << max(12, (keys * BITS_A_KEY // 8).bit_length())
     if not keys:
         return old.limit(0)
-    old = old.where(F.col("bucket").isin([r.bucket for r in said])) if len(said) <= 256 else old
+    if keys <= SMALL:
+        old = old.where(F.col("bucket").isin([r.bucket for r in new.select("bucket").distinct().collect()]))  # at most SMALL
     if size > MOST_BYTES:
         return old
 
@@ -192,13 +201,13 @@ def accepted_of(firsts: DataFrame, hit: DataFrame, links: DataFrame) -> DataFram
     settles every class whose earlier links are settled, so rounds number the longest chain of links.
     """
     rejected = spool(hit.distinct())
-    free = spool(links.join(rejected.withColumnRenamed("did", "second"), "second", "left_anti").join(rejected.withColumnRenamed("did", "first"), "first", "left_anti"))
-    while not free.isEmpty():
+    free, number = counted(links.join(rejected.withColumnRenamed("did", "second"), "second", "left_anti").join(rejected.withColumnRenamed("did", "first"), "first", "left_anti"))
+    while number:
         # Whatever has no earlier open link is accepted; what it is linked to, is rejected and links no more.
         heads = free.select(F.col("first").alias("did")).distinct().join(free.select(F.col("second").alias("did")), "did", "left_anti")
         gone = spool(free.join(heads.withColumnRenamed("did", "first"), "first", "left_semi").select(F.col("second").alias("did")).distinct())
-        rejected = spool(rejected.unionByName(gone))
-        free = spool(free.join(gone.withColumnRenamed("did", "second"), "second", "left_anti").join(gone.withColumnRenamed("did", "first"), "first", "left_anti").join(heads.withColumnRenamed("did", "first"), "first", "left_anti"))
+        rejected = rejected.unionByName(gone)
+        free, number = counted(free.join(gone.withColumnRenamed("did", "second"), "second", "left_anti").join(gone.withColumnRenamed("did", "first"), "first", "left_anti"))
     return firsts.select("did").join(rejected, "did", "left_anti")
 
 
@@ -210,14 +219,14 @@ def accept(index: Index, records: DataFrame, batch_no: int) -> DataFrame:
     rows without a doc_id neither; repeated rows of a doc_id count once each; an empty batch appends empty parts.
     """
     spark, t = index.spark, index.threshold
-    sets, members, firsts = _shingled(index, records, batch_no)
-    new = _keys_of(index, sets, firsts)
-    keys = thinned(index.read("keys", 0, index.parts["keys"] - 1), new).withColumn("fresh", F.lit(False)).unionByName(new.select("bucket", "m", "keys").withColumn("fresh", F.lit(True)))
-    met = multiplied(keys, index.ranges, t)
+    sets, firsts, number = _shingled(index, records, batch_no)
+    new, size = _keys_of(index, sets, firsts, number)
+    keys = thinned(index.read("keys", 0, index.parts["keys"] - 1), new, size).withColumn("fresh", F.lit(False)).unionByName(new.select("bucket", "m", "keys").withColumn("fresh", F.lit(True)))
+    met, tiles = multiplied(keys, index.ranges, t)
     # Candidates with the fields of accepted documents and of the batch's own.
     known = index.read("classes").unionByName(firsts.drop("c1", "c2"))
     side = lambda x: known.select([F.col(c).alias(f"{c}_{x}" if c != "did" else x) for c in known.columns])
-    candidates = scored(accumulated(met, index.ranges, t).join(side("a"), "a").join(side("b"), "b"))
+    candidates = scored(accumulated(met, tiles, index.ranges, t).join(side("a"), "a").join(side("b"), "b"))
     fields = ["a", "b", "doc_id_a", "doc_id_b", "score"]
     links = spool(verified(candidates.select(*fields), index.read("sets"), t))
     # Of a pair within the batch the one with the smaller doc_id comes first.
@@ -236,7 +245,7 @@ def accept(index: Index, records: DataFrame, batch_no: int) -> DataFrame:
     near = outside.select(F.col("b").alias("class"), F.col("doc_id_a").alias("head_doc"), "similarity", "score", F.lit(True).alias("before"))
     near = near.unionByName(both.select("class", "head_doc", "similarity", "score", F.lit(False).alias("before")))
     near = near.unionByName(heads.select(F.col("did").alias("class"), F.col("doc_id").alias("head_doc"), F.lit(1.0).alias("similarity"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("before")))
-    of_class = members.dropDuplicates(["doc_id", "c1", "c2"]).join(firsts.select("c1", "c2", F.col("did").alias("class")), ["c1", "c2"]).select("doc_id", "class")
+    of_class = sets.select("doc_id", "c1", "c2").dropDuplicates(["doc_id", "c1", "c2"]).join(firsts.select("c1", "c2", F.col("did").alias("class")), ["c1", "c2"]).select("doc_id", "class")
     hits = of_class.join(near, "class").where(F.col("before") | (F.col("head_doc") < F.col("doc_id")))
     kept = index.append("links", hits.select("doc_id", F.col("head_doc").alias("head"), "similarity", "score"))
     discard(met)

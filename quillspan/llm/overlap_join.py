@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspan.llm.shingles import Sets, sets_from, sets_of, unpacked
 from quillspan.plans.folds import merged, segments
-from quillspan.plans.spool import discard, release, spool
+from quillspan.plans.spool import counted, discard, release, spool
 
 SKETCH = 1 << 20
 #: Smallest row size of each scheme of blocks; the number of blocks follows from it. A pair meets in the scheme of its
@@ -66,7 +66,8 @@ def block_keys(sets: Sets, counts: np.ndarray, threshold: float) -> tuple[np.nda
         doc = sets.owners()
         inside = mine[doc]
         doc, h = doc[inside], sets.values[inside]
-        order = np.lexsort((h, counts[(h & np.uint64(SKETCH - 1)).astype(np.int64)], doc))
+        # By row and count; within a count the numbers stay in their order, which is ascending in a row.
+        order = np.argsort((doc.astype(np.int64) << 32) | counts[(h & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")
         doc, h = doc[order], h[order]
         start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         begin = np.repeat(start, np.diff(np.append(start, len(doc))))
@@ -139,10 +140,9 @@ def class_sets(rows: DataFrame, width: int, min_tokens: int, seq: int = 0, path:
     return sets, sketch
 
 
-def without(rows: DataFrame, ids: DataFrame, keep: bool = False) -> DataFrame:
-    """rows whose did isn't (with `keep`: is) in the spooled ids(did). Few ids are sent to all executors, many are joined."""
-    few = ids.count() <= SENT
-    return rows.join(F.broadcast(ids) if few else ids, "did", "left_semi" if keep else "left_anti")
+def without(rows: DataFrame, ids: DataFrame, number: int, keep: bool = False) -> DataFrame:
+    """rows whose did isn't (with `keep`: is) in the spooled ids(did), of which there are `number`. Few ids are sent to all executors, many are joined."""
+    return rows.join(F.broadcast(ids) if number <= SENT else ids, "did", "left_semi" if keep else "left_anti")
 
 
 # Packed column pairs: keys within a range are sorted, their differences, row numbers and size codes stored byte by byte.
@@ -176,11 +176,11 @@ def _steps(x: np.ndarray) -> np.ndarray:
 
 def packed_keys(sets: DataFrame, sketch: np.ndarray, ranges: int, threshold: float) -> DataFrame:
     """sets(did, members) -> (bucket, m, keys): column pairs by range; `ranges` is a power of two."""
-    counted = sets.sparkSession.sparkContext.broadcast(sketch)
+    shared = sets.sparkSession.sparkContext.broadcast(sketch)
     top = np.uint64(64 - (ranges.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = counted.value
+        counts = shared.value
         for batch in batches:
             dids, members = batch.column(0).to_numpy(), batch.column(1)
             upto = np.cumsum([len(x) // 6 for x in members.to_pylist()])
@@ -287,8 +287,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def multiplied(keys: DataFrame, ranges: int, threshold: float) -> DataFrame:
-    """keys(bucket, m, keys, fresh) -> spooled (bucket, m, keys, other): packed partial counts of the rows that meet, one of them fresh.
+def multiplied(keys: DataFrame, ranges: int, threshold: float) -> tuple[DataFrame, int]:
+    """keys(bucket, m, keys, fresh) -> (spooled (bucket, m, keys, other), tiles): packed partial counts of the rows that meet, one of them fresh.
 
     Rows with `other` are two tiles of a key with many rows, which `tiles_multiplied` takes apart from its range.
     """
@@ -317,7 +317,7 @@ def multiplied(keys: DataFrame, ranges: int, threshold: float) -> DataFrame:
                 yield from counts.add(part)
         yield from counts.flush()
 
-    return spool(keys.select("bucket", "m", "keys", "fresh").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET))
+    return counted(keys.select("bucket", "m", "keys", "fresh").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET), F.col("other").isNotNull())
 
 
 def tiles_multiplied(tiles: DataFrame, ranges: int, threshold: float) -> DataFrame:
@@ -340,12 +340,11 @@ def tiles_multiplied(tiles: DataFrame, ranges: int, threshold: float) -> DataFra
     return tiles.repartition(F.col("bucket")).mapInArrow(run, _MET)
 
 
-def accumulated(met: DataFrame, ranges: int, threshold: float) -> DataFrame:
+def accumulated(met: DataFrame, tiles: int, ranges: int, threshold: float) -> DataFrame:
     """(a, b): the pairs of rows whose counts, added up over all ranges and tiles, reach the bound."""
-    tiles = met.where("other is not null")
     counts = met.where("other is null")
-    if not tiles.isEmpty():
-        counts = counts.unionByName(tiles_multiplied(tiles, ranges, threshold))
+    if tiles:
+        counts = counts.unionByName(tiles_multiplied(met.where("other is not null"), ranges, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in _by_bucket(batches):
@@ -367,8 +366,8 @@ def ranges_for(columns: int) -> int:
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """pairs(a, b, ...) of rows whose similarity over the whole sets(did, n, members) reaches the threshold: adds `similarity`."""
-    wanted = spool(pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct())
-    some = without(sets.select("did", "members"), wanted, keep=True)
+    wanted, number = counted(pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct())
+    some = without(sets.select("did", "members"), wanted, number, keep=True)
     both = pairs.join(some.select(F.col("did").alias("a"), F.col("members").alias("x")), "a").join(some.select(F.col("did").alias("b"), F.col("members").alias("y")), "b")
     kept = [f for f in pairs.schema.fields if f.name not in ("a", "b")]
     names = ["a", "b", *[f.name for f in kept]]
@@ -398,13 +397,13 @@ def similar_classes(rows: DataFrame, threshold: float, width: int, min_tokens: i
     classes = spool(sets.groupBy("c1", "c2").agg(F.min("did").alias("first"), F.count("*").alias("copies")))
     copied = F.col("copies") > 1
     again = sets.select("key", "did", "c1", "c2").join(classes.where(copied).select("c1", "c2", "first"), ["c1", "c2"])
-    copies = spool(again.where("did <> first").select("key", "did", "first"))
-    firsts = without(sets, copies.select("did"))
+    copies, number = counted(again.where("did <> first").select("key", "did", "first"))
+    firsts = without(sets, copies.select("did"), number)
     columns = firsts.agg(F.sum("n")).first()[0] or 0
     ranges = ranges_for(columns)
-    met = multiplied(packed_keys(firsts, sketch, ranges, threshold).withColumn("fresh", F.lit(True)), ranges, threshold)
+    met, tiles = multiplied(packed_keys(firsts, sketch, ranges, threshold).withColumn("fresh", F.lit(True)), ranges, threshold)
     release(spark)
-    pairs = spool(accumulated(met, ranges, threshold))
+    pairs = spool(accumulated(met, tiles, ranges, threshold))
     discard(met)
     release(spark)
     links = spool(verified(pairs, sets, threshold))

@@ -111,17 +111,15 @@ def shingle_sets(texts: list[str | None], width: int, min_tokens: int, hashes: T
     ends = np.cumsum(n)[:-1]
     for i in range(1, width):
         inside[ends - i] = False
-    h, doc = h[inside], doc[inside]
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new]
-    return Sets(at, h, np.bincount(doc, minlength=len(n)))
+    # Text and number side by side in 64 bits (a call has at most TEXTS texts): one sort orders both.
+    both = np.unique((doc[inside].astype(np.uint64) << np.uint64(BITS)) | h[inside])
+    doc = (both >> np.uint64(BITS)).astype(np.int64)
+    return Sets(at, both & np.uint64((1 << BITS) - 1), np.bincount(doc, minlength=len(n)))
 
 
-#: Texts are turned into sets in runs of about so many characters.
+#: Texts are turned into sets in runs of about so many characters, and of so many texts at most.
 RUN = 2_000_000
+TEXTS = 1 << (64 - BITS)
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], width: int, min_tokens: int, text_at: int) -> Iterator[tuple[pa.RecordBatch, Sets]]:
@@ -133,5 +131,6 @@ def sets_of(batches: Iterator[pa.RecordBatch], width: int, min_tokens: int, text
         begin = 0
         while begin < len(texts):
             end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + RUN, side="right")))
+            end = min(end, begin + TEXTS)
             yield batch.slice(begin, end - begin), shingle_sets(texts[begin:end], width, min_tokens, hashes)
             begin = end
