@@ -119,7 +119,7 @@ def class_sets(rows: DataFrame, width: int, min_tokens: int, seq: int = 0, path:
         did = (seq << 52) | (TaskContext.get().partitionId() << 30)
         for batch, sets in sets_of(batches, width, min_tokens, text_at):
             if count:
-                np.add.at(acc, (sets.values & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                acc += np.bincount((sets.values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
             taken = batch.take(pa.array(sets.at, pa.int64()))
             m = len(sets)
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(sets[i].tobytes()) for i in range(m)), np.int64).reshape(m, 2)
@@ -298,7 +298,7 @@ def multiplied(keys: DataFrame, ranges: int, threshold: float) -> tuple[DataFram
         for bucket in _by_bucket(batches):
             parts = [(*opened_keys(m, k), np.full(m, f)) for m, k, f in zip(*(bucket.column(c).to_pylist() for c in ("m", "keys", "fresh")), strict=True)]
             h, did, code, fresh = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((did, ~fresh, h))
+            order = np.argsort((h.astype(np.uint64) << np.uint64(1)) | (~fresh).astype(np.uint64))
             h, did, code, fresh = h[order], did[order], code[order], fresh[order]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             many = np.diff(np.append(start, len(h)))

@@ -97,7 +97,7 @@ def shingle_sets(texts: list[str | None], width: int, min_tokens: int, hashes: T
                 counts.append(len(tokens))
     if not at:
         return Sets([], np.empty(0, np.uint64), np.empty(0, np.int64))
-    t = np.array([hashes[x] for x in flat], dtype=np.uint64)
+    t = np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
     n = np.array(counts)
     h = t[: len(t) - width + 1].copy()
     for i in range(1, width):
@@ -112,7 +112,8 @@ def shingle_sets(texts: list[str | None], width: int, min_tokens: int, hashes: T
     for i in range(1, width):
         inside[ends - i] = False
     # Text and number side by side in 64 bits (a call has at most TEXTS texts): one sort orders both.
-    both = np.unique((doc[inside].astype(np.uint64) << np.uint64(BITS)) | h[inside])
+    both = np.sort((doc[inside].astype(np.uint64) << np.uint64(BITS)) | h[inside])
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
     doc = (both >> np.uint64(BITS)).astype(np.int64)
     return Sets(at, both & np.uint64((1 << BITS) - 1), np.bincount(doc, minlength=len(n)))
 
