@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Mapping
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,12 +67,23 @@ def approximate_tokens(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.greatest(F.lit(1), F.floor(F.length(text) / 4))).otherwise(0).cast("int")
 
 
+# Articles before and legal forms after a name that don't tell entities apart.
+ARTICLES = ("the", "a", "an")
+LEGAL_FORMS = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "llp", "lp", "plc", "gmbh", "mbh", "ag", "kg", "kgaa", "sa", "sas", "sarl", "spa", "srl", "bv", "nv", "ab", "as", "asa", "oy", "oyj", "aps", "pty", "pte", "kk")
+
+
 def entity_key(name: Column) -> Column:
-    """The name by which entities are merged: no outer quotes or punctuation, articles or legal forms."""
+    """The name by which entities are merged: no punctuation, articles or legal forms; a name of nothing else stays as it is."""
     s = F.lower(F.regexp_replace(name, "&", " and "))
     s = F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " "), r"^ +| +$", "")
-    s = F.regexp_replace(s, r"^(the|a|an) ", "")
-    return F.regexp_replace(s, r"( (inc|incorporated|corp|corporation|ltd|limited|llc|gmbh|plc|co|company|sa|ag))+$", "")
+    s = F.regexp_replace(s, rf"^(?:(?:{'|'.join(ARTICLES)})(?: |$))+", "")
+    s = F.regexp_replace(s, rf"(?:(?:^| )(?:{'|'.join(LEGAL_FORMS)}))+$", "")
+    return F.when(s != "", s).otherwise(F.lower(F.trim(name)))
+
+
+def unquoted(name: Column) -> Column:
+    """A name without outer quotes and with single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(name, r"\s+", " "), r"^[\s\"'“”‘’`]+|[\s\"'“”‘’`]+$", ""))
 
 
 def relation_type(name: Column) -> Column:
@@ -81,9 +95,40 @@ def relation_type(name: Column) -> Column:
 # Identity
 
 
-def content_id(*parts: Column) -> Column:
-    """A digest of the parts; null parts are skipped, as in the source of the semantics."""
-    return F.sha2(F.concat_ws("\u001f", *parts), 256)
+#: Fixed value: the name space of stable ids.
+NAMESPACE = uuid.UUID("6b2f4a5e-9c3d-4f1a-8b7e-2d5c9a1f3e40")
+
+
+def _digest(parts: tuple, size: int) -> str:
+    return hashlib.blake2b(b"".join(str(p).encode() + b"\x1f" for p in parts if p is not None), digest_size=size).hexdigest()
+
+
+def content_hash(*parts: Column, size: int = 16) -> Column:
+    """BLAKE2b of the parts as text, each followed by a unit separator; null parts are skipped."""
+
+    def run(x: pd.DataFrame) -> pd.Series:
+        return pd.Series([_digest(row, size) for row in x.itertuples(index=False, name=None)], dtype=object)
+
+    return F.pandas_udf(run, "string")(F.struct(*[p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)]))
+
+
+def stable_uuid(*parts: Column) -> Column:
+    """A name-based (version 5) UUID of the parts' hash: the same for the same parts, everywhere."""
+
+    def run(x: pd.DataFrame) -> pd.Series:
+        return pd.Series([str(uuid.uuid5(NAMESPACE, _digest(row, 32))) for row in x.itertuples(index=False, name=None)], dtype=object)
+
+    return F.pandas_udf(run, "string")(F.struct(*[p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)]))
+
+
+def chunk_key(document: Column, index: Column, content: Column, level: int = 0) -> Column:
+    """A chunk's id: of its document, place, level and content, so that an edited chunk gets a new one."""
+    return stable_uuid(F.lit("chunk"), document, index, F.lit(level), content)
+
+
+def entity_id(name: Column, tenant: Column | None = None) -> Column:
+    """An entity's id: of its name in lower case, within its tenant."""
+    return stable_uuid(F.lit("entity"), F.coalesce(tenant, F.lit("")) if tenant is not None else F.lit(""), F.lower(F.trim(name)))
 
 
 # Filters
@@ -132,7 +177,8 @@ def _field(name: str, spec: Any, kind: str) -> Column:
         elif op == "nin":
             out = out & ~F.coalesce(c.isin(list(value)), F.lit(False))
         elif op == "range":
-            out = out & c.between(value[0], value[1])
+            low, high = value
+            out = out & (F.lit(True) if low is None else c >= low) & (F.lit(True) if high is None else c <= high)
         elif op == "contains":
             out = out & (F.array_contains(c, value) if kind == "array" else c.contains(value))
         else:
@@ -146,9 +192,54 @@ def _equal(c: Column, value: Any, kind: str) -> Column:
         return c.isNull() | empty
     if isinstance(value, (list, tuple, set)):
         return c.isin(list(value))
+    if isinstance(value, float):  # stored in single precision or double: both are the same value
+        return c.between(value - 1e-9 * max(1.0, abs(value)), value + 1e-9 * max(1.0, abs(value)))
     return F.array_contains(c, value) if kind == "array" else c == value
 
 
+#: Operators by kind of attribute that a parsed condition may use.
+OPERATORS = {"string": {"eq", "ne", "in", "nin", "contains"}, "int": {"eq", "ne", "in", "nin", "gt", "gte", "lt", "lte", "range"}, "float": {"eq", "ne", "gt", "gte", "lt", "lte", "range"}, "bool": {"eq", "ne"}, "date": {"eq", "gt", "gte", "lt", "lte", "range"}}
+
+
+def _coerced(value: Any, kind: str) -> Any:
+    if isinstance(value, (list, tuple)):
+        return [_coerced(v, kind) for v in value]
+    text = str(value).strip()
+    if kind == "int":
+        return int(float(text.replace(",", "")))
+    if kind == "float":
+        return float(text.replace(",", ""))
+    if kind == "bool":
+        if text.lower() not in ("true", "yes", "1", "false", "no", "0"):
+            raise ValueError(text)
+        return text.lower() in ("true", "yes", "1")
+    if kind == "date":
+        from datetime import datetime
+
+        return datetime(int(text), 1, 1) if text.isdigit() and len(text) == 4 else datetime.fromisoformat(text)
+    return text
+
+
+def parsed_conditions(conditions: list[tuple[str, str, Any]], attributes: Mapping[str, str], any_of: bool = False) -> dict[str, Any]:
+    """(field, operator, value) triples of a parsed question -> a filter; unknown fields, operators and values that don't fit the kind are left out.
+
+    Several conditions on one field are merged, so that bounds become one interval; `any_of` joins fields by or.
+    """
+    out: dict[str, dict[str, Any]] = {}
+    for field, op, value in conditions:
+        kind = attributes.get(field)
+        if kind is None or op not in OPERATORS.get(kind, set()):
+            continue
+        try:
+            value = _coerced(value if op not in ("in", "nin") or isinstance(value, (list, tuple)) else [value], kind)
+        except ValueError:
+            continue
+        if op == "range" and (not isinstance(value, list) or len(value) != 2):
+            continue
+        out.setdefault(field, {})[op] = value
+    return {"$or": [{f: spec} for f, spec in out.items()]} if any_of and len(out) > 1 else dict(out)
+
+
 def tenant_scope(filters: Mapping[str, Any] | None, tenant: str | None, required: bool = True) -> dict[str, Any]:
     """The filters and the tenant's; a filter on another tenant raises, and so does a missing tenant where one is required."""
     own = dict(filters or {})

@@ -11,6 +11,7 @@ import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +52,20 @@ def spool(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFra
     return out
 
 
+def observed(seen: Observation, name: str) -> int:
+    """A metric of an observation; 0 where the plan was found to be empty before it ran, which leaves no metrics."""
+    try:
+        return seen.get.get(name) or 0
+    except Py4JJavaError:
+        return 0
+
+
 def counted(df: DataFrame, condition: Column | None = None, path: str | None = None) -> tuple[DataFrame, int]:
     """`spool`, and the number of rows (that meet the condition), counted while they are written."""
     seen = Observation()
     n = F.count(F.lit(1)) if condition is None else F.count_if(condition)
     out = spool(df.observe(seen, n.alias("n")), path=path)
-    return out, seen.get.get("n") or 0
+    return out, observed(seen, "n")
 
 
 def delete(spark: SparkSession, path: str) -> None:
