@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quillspan.llm.overlap_join import KEYS, SENT, accumulated, class_sets, multiplied, opened_keys, pack, packed_keys, ranges_for, verified, without
 from quillspan.operators.graph import components
 from quillspan.plans.folds import fold
-from quillspan.plans.spool import counted, discard, new_path, release, spool
+from quillspan.plans.spool import counted, discard, new_path, observed, release, spool
 from quillspan.sources.tables import table
 
 THRESHOLD = 0.7
@@ -131,7 +131,7 @@ def _keys_of(index: Index, sets: DataFrame, firsts: DataFrame, number: int) -> t
     out = index.append("keys", packed.sortWithinPartitions("bucket"))
     if others is not None:
         discard(others)
-    return out, seen.get.get("m") or 0
+    return out, observed(seen, "m")
 
 
 def begin(index: Index, history: DataFrame) -> None:
