@@ -6,6 +6,8 @@ about CELL vectors; every row is put into its cell. In a cell a finer kd-tree is
 each wave's vectors are verified by true distance, and a query stops when the next leaf is so far that a vector at its
 current k-th distance would have been met before with probability SURE (the chi-square stopping test). Queries whose
 ball leaves their cell are sent on to the cells that it reaches and are searched there in the same way.
+
+Between tasks vectors travel with 16 bits a component, which leaves similarities exact to about 0.00002.
 """
 
 from __future__ import annotations
@@ -18,21 +20,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.plans.spool import spool
+from quillspan.plans.once import once
+from quillspan.plans.spool import counted, release, spool
 from quillspan.sources.tables import table
 
 K = 10
 DIMS = 16
 SEED = 20_111
-#: Rows that the upper kd-tree is fitted on at most, rows that a cell aims at, rows of a leaf of the tree within a cell.
-SAMPLE = 40_000
-CELL = 50_000
+#: The upper kd-tree is fitted on SAMPLE rows or on A_CELL rows for each of its cells, if that is more, up to MOST_SAMPLE
+#: rows (some 130 MB of projections on the driver); cells are larger than CELL beyond MOST_SAMPLE / A_CELL of them.
+SAMPLE, A_CELL, MOST_SAMPLE = 40_000, 64, 2_000_000
+#: Rows that a cell aims at, rows of a leaf of the tree within a cell.
+CELL = 25_000
 LEAF = 256
-SURE = 0.9
+SURE = 0.95
 #: The same test for sending a query to another cell, over the dimensions in which it must leave its own.
-SENT = 0.7
+SENT = 0.9
 #: Queries taken at once, which bounds a task's memory.
 BLOCK = 8_192
+#: Rows of a side table that is sent to all executors at most.
+FEW = 1_000_000
+SCALE = 32_767
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -86,26 +94,38 @@ class Tree:
             node = 2 * node + 1 + (points[np.arange(len(points)), self.dim[node]] >= self.value[node])
         return node - (2**self.depth - 1)
 
-    def regions(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """(low, high) of each leaf's region."""
+    def regions(self, m: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(low, high) of each node's region, level by level."""
         low, high = np.full((1, m), -np.inf, np.float32), np.full((1, m), np.inf, np.float32)
+        out = [(low, high)]
         for level in range(self.depth):
-            l2, h2 = np.repeat(low, 2, 0), np.repeat(high, 2, 0)
-            for i in range(2**level):
-                node = 2**level - 1 + i
-                h2[2 * i, self.dim[node]] = min(h2[2 * i, self.dim[node]], self.value[node])
-                l2[2 * i + 1, self.dim[node]] = max(l2[2 * i + 1, self.dim[node]], self.value[node])
-            low, high = l2, h2
-        return low, high
+            node = 2**level - 1 + np.arange(2**level)
+            low, high = np.repeat(low, 2, 0), np.repeat(high, 2, 0)
+            at = np.arange(2**level)
+            high[2 * at, self.dim[node]] = np.minimum(high[2 * at, self.dim[node]], self.value[node])
+            low[2 * at + 1, self.dim[node]] = np.maximum(low[2 * at + 1, self.dim[node]], self.value[node])
+            out.append((low, high))
+        return out
 
 
-def cells_left_for(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(squared distances of points to boxes, in how many dimensions they lie outside)."""
-    outside = np.zeros((len(q), len(low)), np.int64)
-    for d in range(q.shape[1]):
-        x = q[:, d : d + 1]
-        outside += (x < low[None, :, d]) | (x > high[None, :, d])
-    return box_distances(q, low, high), outside
+def cells_reached(q: np.ndarray, bound: np.ndarray, tree: Tree, boxes: list[tuple[np.ndarray, np.ndarray]], sending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, cell): the cells outside of which a query's neighbours may lie, by descent of the tree.
+
+    A cell is reached if its squared distance is within the bound times the quantile for the dimensions in which the query
+    lies outside of it; inner nodes are left as soon as they are out of reach for any number of dimensions.
+    """
+    rows, nodes = np.arange(len(q)), np.zeros(len(q), np.int64)
+    for level in range(tree.depth + 1):
+        low, high = boxes[level]
+        gap = np.maximum(np.maximum(low[nodes] - q[rows], q[rows] - high[nodes]), 0)
+        far = (gap * gap).sum(1)
+        if level == tree.depth:
+            ok = far <= sending[(gap > 0).sum(1)] * bound[rows]
+            return rows[ok], nodes[ok]
+        ok = far <= sending[-1] * bound[rows]
+        rows, nodes = np.repeat(rows[ok], 2), np.repeat(2 * nodes[ok], 2)
+        nodes[1::2] += 1
+    raise AssertionError
 
 
 def box_distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -163,17 +183,19 @@ def search(q: np.ndarray, qv: np.ndarray, q_rank: np.ndarray, best: Best, pv: np
         rows, leaf = rows[by], leaf[by]
         edges = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1], [True]])) if len(leaf) else np.zeros(1, int)
         found = []
-        limit = factor * best.bound()
+        least = np.maximum(best.sim[:, -1], best.floor)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own, members = rows[a:b], tree.leaves[leaf[a]]
             if not len(members):
                 continue
-            d = (q[own] ** 2).sum(1)[:, None] + (p[members] ** 2).sum(1)[None] - 2 * q[own] @ p[members].T
-            i, j = np.nonzero(d <= limit[own][:, None])
-            i, j = own[i], members[j]
-            sim = np.einsum("ij,ij->i", qv[i], pv[j])
-            ok = (sim >= best.floor) & (q_rank[i] != rank[j])
-            found.append((i[ok], rank[j][ok], sim[ok]))
+            # True similarities of a whole leaf at once; only those that can be among a query's k best go on.
+            sim = qv[own] @ pv[members].T
+            sim[q_rank[own][:, None] == rank[members][None]] = -np.inf
+            k = best.sim.shape[1]
+            if sim.shape[1] > 2 * k and not np.isfinite(least[own]).all():
+                sim = np.where(sim >= np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k, None], sim, -np.inf)
+            i, j = np.nonzero((sim >= least[own][:, None]) & (sim > -np.inf))
+            found.append((own[i], rank[members[j]], sim[i, j]))
         if found:
             best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
         begin += wave
@@ -188,24 +210,23 @@ def directions(width: int) -> np.ndarray:
 
 
 def vectors_of(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column), np.int16).reshape(len(column), -1).astype(np.float32) / SCALE
 
 
 def usable(rows: DataFrame, width: int) -> DataFrame:
-    """rows(key, embedding) -> (key, v binary): float32 unit vectors of the rows that take part, each key once."""
+    """rows(key, embedding) -> (key, v binary): unit vectors of the rows that take part, each key once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f):
                 continue
             x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-            norm = np.sqrt((x**2).sum(1))
-            ok = np.isfinite(norm) & (norm > 0)
-            unit = (x[ok] / norm[ok][:, None]).astype(np.float32)
-            yield pd.DataFrame({"key": f["key"].to_numpy()[ok], "v": [u.tobytes() for u in unit]})
+            unit = np.rint(x / np.sqrt((x**2).sum(1, keepdims=True)) * SCALE).astype(np.int16)
+            yield pd.DataFrame({"key": f["key"], "v": [u.tobytes() for u in unit]})
 
-    whole = rows.where(F.col("key").isNotNull() & (F.size("embedding") == width) & ~F.exists("embedding", lambda x: x.isNull()))
-    return whole.select("key", "embedding").mapInPandas(run, "key string, v binary")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    whole = rows.where(F.col("key").isNotNull() & (F.size("embedding") == width) & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
+    return once(whole.select("key", "embedding"), "key", F.col("embedding")).mapInPandas(run, "key string, v binary")
 
 
 def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, cell: int = CELL, sample: int = SAMPLE) -> DataFrame:
@@ -216,36 +237,45 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
     once: each copy gets the k smallest keys of its copies and of the found vectors' copies, so copies stay linear.
     """
     spark = rows.sparkSession
-    vectors = usable(rows, width).withColumn("vid", F.xxhash64("v"))
-    grouped = spool(vectors.groupBy("key").agg(F.min("vid").alias("vid")))
-    # The k + 1 smallest keys of each vector's copies, first by salt so that no group of copies meets in one task.
-    salted = grouped.select("vid", "key", (F.abs(F.xxhash64("key")) % 64).alias("salt"))
-    some = salted.withColumn("r", F.row_number().over(Window.partitionBy("vid", "salt").orderBy("key"))).where(F.col("r") <= k + 1)
-    some = some.withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy("key"))).where(F.col("r") <= k + 1)
-    firsts = spool(some.select("vid", "key", "r"))
-    reps = vectors.groupBy("vid").agg(F.min("v").alias("v"))
-    n = firsts.where("r = 1").count()
-    if not n:
+    base, total = counted(usable(rows, width).withColumn("vid", F.xxhash64("v")))
+    if not total:
         return spark.createDataFrame([], "key string, other string, similarity double, place int")
-    depth = max(0, math.ceil(math.log2(n / cell)))
+    few = lambda df, n: F.broadcast(df) if n <= FEW else df
+    # Copies: only vectors that come more than once are grouped with their keys, first by salt, so that no group meets in one task.
+    several, groups = counted(base.groupBy("vid").agg(F.count("*").alias("_n")).where("_n > 1").select("vid"))
+    copies = spool(base.select("vid", "key").join(few(several, groups), "vid", "left_semi").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64))))
+    some = copies.withColumn("r", F.row_number().over(Window.partitionBy("vid", "salt").orderBy("key"))).where(F.col("r") <= k + 1)
+    some = spool(some.withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy("key"))).where(F.col("r") <= k + 1).select("vid", "key", "r"))
+    owner = some.where("r = 1").select("vid", F.col("key").alias("owner"))
+    again, number = counted(copies.join(few(owner, groups), "vid").where(F.col("key") != F.col("owner")).select("key"))
+    single = base.join(few(several, groups), "vid", "left_anti").select("vid", "key", F.lit(1).alias("r"))
+    firsts = single.unionByName(some)
+    reps = base.join(few(again, number), "key", "left_anti").select("vid", "v")
+
+    n = total - number
+    cells = max(1, math.ceil(n / cell))
+    sample = min(max(sample, A_CELL * cells), MOST_SAMPLE)
+    depth = max(0, math.ceil(math.log2(min(cells, max(1, sample // A_CELL)))))
     share = min(1.0, 1.2 * sample / n)
-    drawn = vectors.where((F.abs(F.xxhash64("vid", F.lit(SEED))) % 1_000_000) < int(share * 1_000_000)).limit(sample).select("v").toPandas()
+    drawn = reps.where(F.pmod(F.xxhash64("vid", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample).select("v").toPandas()
     axes = directions(width)
     top = Tree(vectors_of(drawn["v"]) @ axes if len(drawn) else np.zeros((1, DIMS), np.float32), depth)
-    low, high = top.regions(DIMS)
-    shared = spark.sparkContext.broadcast((axes, top.depth, top.dim, top.value, low, high))
+    shared = spark.sparkContext.broadcast((axes, top.depth, top.dim, top.value, top.regions(DIMS)))
     factor = chi_square_quantile(SURE, DIMS)
     sending = np.array([0.0, *(chi_square_quantile(SENT, m) for m in range(1, DIMS + 1))], np.float32)
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        axes, deep, dim, value, _, _ = shared.value
+    def upper() -> Tree:
         t = Tree.__new__(Tree)
-        t.depth, t.dim, t.value = deep, dim, value
+        _, t.depth, t.dim, t.value, _ = shared.value
+        return t
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t, axes = upper(), shared.value[0]
         for f in frames:
             if len(f):
                 yield f.assign(cell=t.place(vectors_of(f["v"]) @ axes))
 
-    homed = spool(reps.mapInPandas(place, "vid bigint, v binary, cell int"))
+    homed = reps.mapInPandas(place, "vid bigint, v binary, cell int")
 
     def local_tree(p: np.ndarray) -> tuple[Tree, tuple[np.ndarray, np.ndarray]]:
         t = Tree(p, max(0, math.ceil(math.log2(max(1, len(p)) / LEAF))))
@@ -259,7 +289,7 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
 
     def at_home(f: pd.DataFrame) -> pd.DataFrame:
         """Each vector in its own cell; rows with a cell are those sent on: to that cell, with the bound so far."""
-        axes, _, _, _, low, high = shared.value
+        axes, boxes_above = shared.value[0], shared.value[4]
         f = f.sort_values("vid", ignore_index=True)
         ids, v = f["vid"].to_numpy(), vectors_of(f["v"])
         p, here = v @ axes, int(f["cell"].iloc[0])
@@ -270,15 +300,14 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
             best = Best(s.stop - a, k, least)
             search(p[s], v[s], rank[s], best, v, p, rank, t, boxes, factor)
             out.append(hits(ids[s], best, ids).assign(v=None, cell=-1, bound=0.0))
-            far, outside = cells_left_for(p[s], low, high)
-            reach = far <= sending[outside] * best.bound()[:, None]
-            reach[:, here] = False
-            i, c = np.nonzero(reach)
+            i, c = cells_reached(p[s], best.bound(), upper(), boxes_above, sending)
+            i, c = i[c != here], c[c != here]
             raw = f["v"].to_numpy()[s]
             out.append(pd.DataFrame({"vid": ids[s][i], "other": np.zeros(len(i), np.int64), "sim": 0.0, "v": raw[i], "cell": c, "bound": best.sim[i, -1].astype(np.float64)}))
         return pd.concat(out, ignore_index=True)[["vid", "other", "sim", "v", "cell", "bound"]]
 
     first = spool(homed.groupBy("cell").applyInPandas(at_home, "vid bigint, other bigint, sim double, v binary, cell int, bound double"))
+    release(spark)
     sent = first.where("cell >= 0").select(F.col("vid").alias("qid"), F.col("cell").alias("to"), "bound", F.col("v").alias("qv"))
 
     def visited(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -302,20 +331,19 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
             out.append(hits(part["qid"].to_numpy(), best, ids))
         return pd.concat(out, ignore_index=True)
 
-    # Many queries may be sent to one cell: they come in slices, each beside the cell's vectors, as far as a cell's share
-    # exceeds its own size.
-    slices = 4
-    cells = homed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))) if depth > 6 else homed.withColumn("slice", F.lit(0))
-    guests = sent.withColumn("part", (F.abs(F.xxhash64("qid")) % slices).cast("int") if depth > 6 else F.lit(0))
-    away = cells.groupBy("cell", "slice").cogroup(guests.groupBy("to", "part")).applyInPandas(visited, "vid bigint, other bigint, sim double")
+    # A cell that many queries are sent to is visited in slices of about four times its size, each beside the cell's vectors.
+    load = sent.groupBy(F.col("to").alias("cell")).agg(F.ceil(F.count("*") / (4 * cell)).cast("int").alias("slices"))
+    load = F.broadcast(spool(load))  # a row for each cell: at most 2 * MOST_SAMPLE / A_CELL
+    visits = homed.join(load, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("vid", "v", "cell", "slice")
+    guests = sent.join(load.withColumnRenamed("cell", "to"), "to").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("slices")).cast("int")).drop("slices")
+    away = visits.groupBy("cell", "slice").cogroup(guests.groupBy("to", "part")).applyInPandas(visited, "vid bigint, other bigint, sim double")
     found = first.where("cell < 0").select("vid", "other", "sim").unionByName(away)
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "other"))).where(F.col("r") <= k).select("vid", "other", "sim")
-    best = best.unionByName(firsts.groupBy("vid").agg(F.max("r").alias("r")).where("r > 1").select("vid", F.col("vid").alias("other"), F.lit(1.0).alias("sim")))
+    best = best.unionByName(some.where("r = 2").select("vid", F.col("vid").alias("other"), F.lit(1.0).alias("sim")))
     # From vectors to keys: each copy of a vector against the k + 1 smallest keys of each found vector.
-    members = grouped.select("vid", "key")
-    named = best.join(firsts.select(F.col("vid").alias("other"), F.col("key").alias("name")), "other").select("vid", "name", F.round("sim", 6).alias("sim"))
-    few = named.withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "name"))).where(F.col("r") <= k + 1).drop("r")
-    all_of = members.join(few, "vid").where(F.col("key") != F.col("name"))
+    named = best.join(firsts.select(F.col("vid").alias("other"), F.col("key").alias("name")), "other").select("vid", "name", F.least(F.lit(1.0), F.round("sim", 6)).alias("sim"))
+    near = named.withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "name"))).where(F.col("r") <= k + 1).drop("r")
+    all_of = base.select("vid", "key").join(near, "vid").where(F.col("key") != F.col("name"))
     placed = all_of.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sim"), "name"))).where(F.col("place") <= k)
     return placed.select("key", F.col("name").alias("other"), F.col("sim").alias("similarity"), "place")
 
