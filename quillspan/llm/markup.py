@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.plans.once import once
 from quillspan.sources.tables import table
 
 LABELS = ("plain", "code", "html", "markdown", "wiki", "latex")
@@ -332,7 +333,8 @@ def labelled(text: str, title: bool, chain: Chain) -> list[tuple[Leaf, str]]:
 
 
 def clean(text: str, found: list[tuple[Leaf, str]]) -> str:
-    """The text without its markup: headings as lines, list items with a dash, code and formulas as they are."""
+    """The text without its markup and with its structure in one notation: headings as lines with as many # as their level,
+    list items with a dash, code blocks between lines of three backticks, table cells between bars, formulas as they are."""
     out, at = [], 0
     for x, label in found:
         if label in MARKUPS:
@@ -343,47 +345,58 @@ def clean(text: str, found: list[tuple[Leaf, str]]) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(out))).strip()
 
 
+def _block(code: str) -> str:
+    return "```\n" + code.strip("\n") + "\n```"
+
+
 def _plain(x: Leaf) -> str:
     s = x.text
     if x.kind in ("pre", "codetag", "source"):
-        return html.unescape(re.sub(r"(?i)</?(?:pre|code|syntaxhighlight|source|nowiki)\b[^>]*>", "", s))
+        inner = html.unescape(re.sub(r"(?i)</?(?:pre|code|syntaxhighlight|source|nowiki)\b[^>]*>", "", s))
+        return inner if x.kind == "codetag" else _block(inner)
     if x.kind in ("tag", "tornTag"):
         name = re.search(r"[A-Za-z]+[0-9]?", s)
         tag = name.group().lower() if name else ""
         if tag == "li" and not s.startswith("</"):
             return "- "
-        return "\n" if tag in ("br", "p", "div", "tr", "li") or re.match(r"h\d$", tag) else "\t" if tag in ("td", "th") and s.startswith("</") else ""
+        if re.fullmatch(r"h[1-6]", tag) and not s.startswith("</"):
+            return "\n" + "#" * int(tag[1]) + " "
+        return "\n" if tag in ("br", "p", "div", "tr", "li") or re.match(r"h\d$", tag) else " | " if tag in ("td", "th") and s.startswith("</") else ""
     if x.kind == "entity":
         return html.unescape(s).replace("\u00a0", " ")
     if x.kind in ("comment", "environment", "mdrule", "single"):
         return ""
     if x.kind == "fence":
-        return "\n".join(s.strip().split("\n")[1:]).removesuffix("```").removesuffix("~~~").rstrip("\n")
+        return _block("\n".join(s.strip().split("\n")[1:]).removesuffix("```").removesuffix("~~~"))
     if x.kind == "verbatim":
-        return re.sub(r"\\(?:begin|end)\{[a-z]+\}", "", s).strip("\n")
+        return _block(re.sub(r"\\(?:begin|end)\{[a-z]+\}", "", s))
     if x.kind in ("math", "display", "odd", "prose"):
         return s
     if x.kind == "command":
         name = re.match(r"~?\\([A-Za-z]+)", s)
+        if name and (level := {"title": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}.get(name.group(1))):
+            return "#" * level + " " + re.sub(r"^~?\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{|\}$", "", s)
         return "" if name and name.group(1) in ("cite", "ref", "label", "eqref", "citep", "citet") else re.sub(r"^~?\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{|\}$", "", s)
     if x.kind == "bare":
         return "-" if s.startswith("\\item") else s[1:] if re.match(r"\\[%&#_$]", s) else ""
     if x.kind == "wikitable":
-        return "" if s.startswith(("{|", "|}", "|-", "|+")) else "\t".join(c.strip() for c in re.split(r"\|\||!!", s.lstrip("|!")))
+        return "" if s.startswith(("{|", "|}", "|-", "|+")) else " | ".join(c.strip() for c in re.split(r"\|\||!!", s.lstrip("|!")))
     if x.kind == "wikilink":
         return s[2:-2].split("|")[-1].removesuffix(" page") if s.endswith(" page]]") else s[2:-2].split("|")[-1]
     if x.kind == "template":
         return s[2:-2].split("|")[-1] if "|" in s else ""
     if x.kind == "wikiheading":
-        return s.strip().strip("=").strip()
+        bare = s.strip()
+        level = (len(bare) - len(bare.lstrip("="))) or 1
+        return "#" * max(1, level - 1) + " " + bare.strip("=").strip()
     if x.kind == "mdheading":
-        return s.lstrip("#").strip()
+        return "#" * (len(s) - len(s.lstrip("#"))) + " " + s.lstrip("#").strip()
     if x.kind in ("link", "reflink", "image"):
         return re.sub(r"^!?\[([^\]]*)\].*$", r"\1", s, flags=re.S)
     if x.kind == "external":
         return s.strip("[]").partition(" ")[2]
     if x.kind == "mdrow":
-        return "\t".join(c.strip() for c in s.strip().strip("|").split("|"))
+        return " | ".join(c.strip() for c in s.strip().strip("|").split("|"))
     if x.kind in ("task", "bullet", "wikibullet", "ones", "number"):
         return "- "
     if x.kind == "quote":
@@ -415,19 +428,18 @@ def clean_texts(rows: DataFrame) -> DataFrame:
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     titles = table(spark, folder, "documents").where("doc_id is not null").select(F.lit("title").alias("field"), F.col("doc_id").cast("string").alias("key"), F.col("title").alias("text"))
-    contents = table(spark, folder, "chunks").where("chunk_id is not null").select(F.lit("content").alias("field"), F.col("chunk_id").alias("key"), F.col("content").alias("text"))
-    return titles.unionByName(contents)
+    chunks = once(table(spark, folder, "chunks").select("chunk_id", "content", "created_at"), "chunk_id", F.desc_nulls_last("created_at"), F.col("content"))
+    return titles.unionByName(chunks.select(F.lit("content").alias("field"), F.col("chunk_id").alias("key"), F.col("content").alias("text")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The kinds of markup left in titles and contents."""
-    out = clean_texts(_texts(spark, folder)).select(F.col("field").alias("field_name"), F.col("key").alias("record_key"), F.explode("markups").alias("markup"))
-    return out.distinct()
+    return clean_texts(_texts(spark, folder)).select(F.col("field").alias("field_name"), F.col("key").alias("record_key"), F.explode("markups").alias("markup"))
 
 
 def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Titles and contents without markup."""
-    return clean_texts(_texts(spark, folder)).select(F.col("field").alias("field_name"), F.col("key").alias("record_key"), "cleaned").distinct()
+    return clean_texts(_texts(spark, folder)).select(F.col("field").alias("field_name"), F.col("key").alias("record_key"), "cleaned")
 
 
 QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean}

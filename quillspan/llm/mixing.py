@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,11 @@ from quillspan.sources.tables import table
 
 SEED = 9_271
 SHIFTS = 64
+BINS = 4096
 #: A capped mean comes no closer to the cap than this share of it, so that the parameter stays finite.
 MOST = 0.97
+#: How far from its share, relative to it, a source that no cap holds may end: documents are whole, so small sources are coarse.
+NEAR = 0.1
 
 
 def capped_mean(rate: float, cap: int) -> float:
@@ -53,6 +57,13 @@ def steps(rate: float, cap: int) -> list[float]:
     return out
 
 
+def best_shift(held: np.ndarray, bounds: list[float], goal: float) -> float:
+    """Of SHIFTS shifts the one that brings the tokens times their repeats closest to the goal."""
+    middle = (np.arange(BINS) + 0.5) / BINS
+    sums = [held @ np.searchsorted(bounds, (middle + i / SHIFTS) % 1.0, side="right") for i in range(SHIFTS)]
+    return min(range(SHIFTS), key=lambda i: (abs(sums[i] - goal), i)) / SHIFTS
+
+
 def source_name(c: str) -> Column:
     return F.lower(F.trim(F.col(c)))
 
@@ -103,8 +114,11 @@ def mix(items: DataFrame, targets: DataFrame, size: float | None = None, seed: i
         at = at - F.floor(at)
         return F.size(F.filter("bounds", lambda b: b <= at))
 
-    sums = drawn.groupBy("source", "goal").agg(*[F.sum(F.col("n_tokens") * count(F.lit(i / SHIFTS))).alias(f"s{i}") for i in range(SHIFTS)]).collect()
-    shift = {r.source: min(range(SHIFTS), key=lambda i: (abs(r[f"s{i}"] - r.goal), i)) / SHIFTS for r in sums}
+    # Tokens by source and place of u in BINS bins say how much each shift would bring: at most BINS rows a target.
+    held: dict[str, np.ndarray] = {source: np.zeros(BINS) for source in planned}
+    for r in drawn.groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("n")).collect():
+        held[r.source][r.bin] = r.n
+    shift = {source: best_shift(held[source], bounds, goal) for source, _, _, bounds, goal in rows}
     shifts = spark.createDataFrame(list(shift.items()), "source string, shift double")
     repeated = drawn.join(F.broadcast(shifts), "source").withColumn("times", count(F.col("shift"))).where("times > 0")
     copies = repeated.select("key", "source", "n_tokens", F.explode(F.sequence(F.lit(1), "times")).alias("copy_no"))
@@ -125,8 +139,8 @@ def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    """Every repeat of every document of the mixture, globally shuffled."""
-    return _shuffled(spark, mix(*_inputs(spark, folder))[0])
+    """Every repeat of every document of the mixture, globally shuffled, at the size of all targeted tokens: small sources stop at their cap."""
+    return _shuffled(spark, mix(*_inputs(spark, folder), whole=True)[0])
 
 
 def _shuffled(spark: SparkSession, mixture: DataFrame) -> DataFrame:
@@ -135,19 +149,30 @@ def _shuffled(spark: SparkSession, mixture: DataFrame) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Target and actual share of each source."""
-    return mix(*_inputs(spark, folder))[1]
+    """Target and actual share of each source in p9_mixture."""
+    return mix(*_inputs(spark, folder), whole=True)[1]
 
 
-def p9_whole_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    """p9_mixture at the size of all targeted tokens; small sources stop at their cap."""
-    return _shuffled(spark, mix(*_inputs(spark, folder), whole=True)[0])
+def p9_exact_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest mixture in which no source passes its cap, so that all shares are met."""
+    return _shuffled(spark, mix(*_inputs(spark, folder))[0])
 
 
-def p9_whole_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Target and actual share of each source in p9_whole_mixture."""
-    return mix(*_inputs(spark, folder), whole=True)[1]
+def p9_exact_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in p9_exact_mixture."""
+    return mix(*_inputs(spark, folder))[1]
+
+
+def p9_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, capped, near_target): no document is repeated above the source's cap; a source that its cap leaves free has its share of what is not capped."""
+    shares = p9_shares(spark, folder)
+    free = F.sum(F.when(~F.col("at_cap") & (F.col("source_tokens") > 0), F.col("wanted_share"))).over(Window.partitionBy())
+    tokens = F.sum(F.when(~F.col("at_cap"), F.col("tokens"))).over(Window.partitionBy())
+    off = F.abs(F.col("tokens") / tokens - F.col("wanted_share") / free)
+    caps = table(spark, folder, "mix_targets").where("source is not null").groupBy(source_name("source").alias("source")).agg(F.min("max_repeats").alias("cap"))
+    near = F.col("at_cap") | (F.col("source_tokens") == 0) | (off <= F.lit(NEAR) * F.col("wanted_share") / free)
+    return shares.join(caps, "source").select("source", (F.col("most_repeats") <= F.col("cap")).alias("capped"), near.alias("near_target"))
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_whole_mixture": p9_whole_mixture, "p9_whole_shares": p9_whole_shares}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_exact_mixture": p9_exact_mixture, "p9_exact_shares": p9_exact_shares, "p9_invariants": p9_invariants}
+ORACLES: dict[str, str] = {"p9_invariants": "SELECT DISTINCT lower(trim(source)) AS source, true AS capped, true AS near_target FROM mix_targets WHERE source IS NOT NULL"}

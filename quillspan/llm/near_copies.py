@@ -77,4 +77,13 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
-ORACLES: dict[str, str] = {}
+_SHINGLES = r"""w AS (SELECT chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS x FROM (SELECT DISTINCT chunk_id, content FROM chunks WHERE content IS NOT NULL AND chunk_id IS NOT NULL)),
+s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(x) - 1), lambda i: x[i] || ' ' || x[i + 1] || ' ' || x[i + 2])) AS g FROM w WHERE len(x) >= 20),
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id), o AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL),
+p AS (SELECT a, b FROM o JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE o >= 0.6 * (x.n + y.n - o) - 1e-9)"""
+ORACLES: dict[str, str] = {
+    "p1_found": f"WITH {_SHINGLES} SELECT a AS chunk_id_a, b AS chunk_id_b FROM p",
+    "p1_groups": f"""WITH {_SHINGLES}, c AS (SELECT chunk_id, list_sort(list(g)) AS k FROM s GROUP BY chunk_id), r AS (SELECT chunk_id, min(chunk_id) OVER (PARTITION BY k) AS representative, count(*) OVER (PARTITION BY k) - 1 AS copies FROM c),
+l AS (SELECT x AS representative, count(*) AS links FROM (SELECT unnest([a, b]) AS x FROM p JOIN r ra ON ra.chunk_id = a AND ra.representative = a JOIN r rb ON rb.chunk_id = b AND rb.representative = b) GROUP BY x)
+SELECT chunk_id, representative, copies, coalesce(links, 0) AS links FROM r LEFT JOIN l USING (representative)""",
+}

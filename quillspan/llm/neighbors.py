@@ -188,6 +188,16 @@ def search(q: np.ndarray, qv: np.ndarray, q_rank: np.ndarray, best: Best, pv: np
             own, members = rows[a:b], tree.leaves[leaf[a]]
             if not len(members):
                 continue
+            if np.isfinite(least[own]).all():
+                # Projected distances first, where they leave little to verify.
+                d = (q[own] ** 2).sum(1)[:, None] + (p[members] ** 2).sum(1)[None] - 2 * q[own] @ p[members].T
+                i, j = np.nonzero(d <= (factor * (2 - 2 * least[own]))[:, None])
+                if 8 * len(i) < d.size:
+                    i, j = own[i], members[j]
+                    sim = np.einsum("ij,ij->i", qv[i], pv[j])
+                    ok = (sim >= least[i]) & (q_rank[i] != rank[j])
+                    found.append((i[ok], rank[j][ok], sim[ok]))
+                    continue
             # True similarities of a whole leaf at once; only those that can be among a query's k best go on.
             sim = qv[own] @ pv[members].T
             sim[q_rank[own][:, None] == rank[members][None]] = -np.inf

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.plans.spool import spool
+from quillspan.plans.spool import counted, spool
 from quillspan.sources.tables import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -28,6 +28,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 CLASSES = 48
 DEPTH = 3
 WINDOW = 0.02
+#: Pieces of one length that are ranked in one window, and rows of a side table that is sent to all executors at most.
+A_SALT, SENT = 200_000, 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -204,16 +206,21 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     pieces = some.withColumn("piece_no", piece).withColumn("token_start", F.col("piece_no") * capacity)
     pieces = pieces.withColumn("token_end", F.least("n_tokens", F.col("token_start") + capacity)).withColumn("length", F.col("token_end") - F.col("token_start"))
     pieces = pieces.select("key", "piece_no", "token_start", "token_end", "length")
-    # Ranks within a length, by salt: counts per (length, salt) give each salt's first rank.
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("key", "piece_no"), F.lit(64)).cast("int"))
-    counts = spool(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
+    # Ranks within a length, by salt: counts per (length, salt) give each salt's first rank. All full pieces share one
+    # length, so the salts grow with the pieces, and a window has about A_SALT of them.
+    few = lambda df, n: F.broadcast(df) if n <= SENT else df
+    number = some.agg(F.sum(F.ceil(F.col("n_tokens") / capacity))).first()[0] or 0
+    salts = 1 << max(6, (number // A_SALT).bit_length())
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("key", "piece_no"), F.lit(salts)).cast("int"))
+    counts, groups = counted(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    table_of = spark.createDataFrame(slots(plan(histogram, capacity)) or [(0, 0, 0, 0, 1)], "length int, first long, many long, container long, each long")
+    planned = slots(plan(histogram, capacity))
+    table_of = spark.createDataFrame(planned or [(0, 0, 0, 0, 1)], "length int, first long, many long, container long, each long")
     offset = counts.withColumn("offset", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "offset")
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("key", "piece_no")) - 1)
-    ranked = ranked.join(F.broadcast(offset), ["length", "salt"]).withColumn("rank", F.col("offset") + F.col("r"))
+    ranked = ranked.join(few(offset, groups), ["length", "salt"]).withColumn("rank", F.col("offset") + F.col("r"))
     runs = table_of.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "many", "container", "each"))).alias("runs"))
-    placed = ranked.join(F.broadcast(runs), "length").withColumn("run", F.filter("runs", lambda x: (x["first"] <= F.col("rank")) & (F.col("rank") < x["first"] + x["many"]))[0])
+    placed = ranked.join(few(runs, len(planned)), "length").withColumn("run", F.filter("runs", lambda x: (x["first"] <= F.col("rank")) & (F.col("rank") < x["first"] + x["many"]))[0])
     container = F.col("run.container") + F.floor((F.col("rank") - F.col("run.first")) / F.col("run.each"))
     return placed.select("key", "piece_no", "token_start", "token_end", container.cast("long").alias("container_id"), F.col("length").alias("n_tokens"))
 
@@ -239,5 +246,17 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return by.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
 
 
-QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill}
-ORACLES: dict[str, str] = {}
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """(pack_label, within, conserved, only_large_split): no container is too full, no token is lost, and only items above the capacity are split."""
+    sizes = _sizes(spark, folder)
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    packed = spool(p8_packed(spark, folder))
+    by = packed.groupBy("pack_label", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("n"))
+    full = by.groupBy("pack_label").agg(F.bool_and(F.col("n") <= F.col("capacity_tokens")).alias("within"), (F.sum("n") == total).alias("conserved"))
+    item = packed.groupBy("pack_label", "capacity_tokens", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"))
+    split = item.groupBy("pack_label").agg(F.bool_and((F.col("pieces") == 1) == (F.col("n") <= F.col("capacity_tokens"))).alias("only_large_split"))
+    return full.join(split, "pack_label")
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p8_invariants": p8_invariants}
+ORACLES: dict[str, str] = {"p8_invariants": "SELECT DISTINCT pack_label, true AS within, true AS conserved, true AS only_large_split FROM pack_targets WHERE capacity_tokens > 0"}

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.plans.once import once
 from quillspan.plans.spool import spool
 from quillspan.sources.tables import table
 
@@ -150,7 +151,7 @@ def defects(pairs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
     answerable: false where no answer is right, so that an empty or refusing one is none of the defects; null counts as
     true. passage: "no" where the pair is marked as not standing alone, "yes" or "unknown" else, "" where that does not
-    apply. Null questions and answers are empty texts; repeated rows of a key count once; rows without a key are left
+    apply. Null questions and answers are empty texts; of repeated rows of a key the first by question and answer counts; rows without a key are left
     out; an empty table gives none.
     """
 
@@ -159,7 +160,7 @@ def defects(pairs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
             v = [votes(q, a, p) for q, a, p in zip(f["question"], f["answer"], f["passage"], strict=True)]
             yield pd.DataFrame({"key": f["key"], "answerable": f["answerable"], "passage": f["passage"], **{d: [x[d] for x in v] for d in DEFECTS}})
 
-    clean = pairs.where("key is not null").dropDuplicates(["key"]).select("key", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("answerable", F.lit(True)).alias("answerable"), F.coalesce("passage", F.lit("")).alias("passage"))
+    clean = once(pairs, "key", F.col("question"), F.col("answer")).select("key", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("answerable", F.lit(True)).alias("answerable"), F.coalesce("passage", F.lit("")).alias("passage"))
     voted = spool(clean.mapInPandas(run, "key string, answerable boolean, passage string, " + ", ".join(f"{d} array<int>" for d in DEFECTS)))
     long = voted.select("key", "answerable", "passage", F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("votes")) for d in DEFECTS])).alias("x")).select("key", "answerable", "passage", "x.*")
     counts = long.groupBy("defect", "votes").count().collect()  # at most 6 * 27 rows
@@ -179,9 +180,9 @@ def single_defect(found: DataFrame) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    cases = table(spark, folder, "eval_cases").select(F.col("id").alias("key"), "question", F.col("expected_answer").alias("answer"), F.coalesce(F.lower(F.try_element_at("metadata", F.lit("answerable"))) != "false", F.lit(True)).alias("answerable"), F.lit("").alias("passage"))
+    cases = once(table(spark, folder, "eval_cases"), "id", F.desc_nulls_last("created_at"), F.col("question"), F.col("expected_answer")).select(F.col("id").alias("key"), "question", F.col("expected_answer").alias("answer"), F.coalesce(F.lower(F.try_element_at("metadata", F.lit("answerable"))) != "false", F.lit(True)).alias("answerable"), F.lit("").alias("passage"))
     stands = F.when(F.col("self_contained"), "yes").when(~F.col("self_contained"), "no").otherwise("unknown")
-    made = table(spark, folder, "generated_questions").select(F.col("gq_id").alias("key"), "question", "answer", F.coalesce("answerable", F.lit(True)).alias("answerable"), stands.alias("passage"))
+    made = once(table(spark, folder, "generated_questions"), "gq_id", F.desc_nulls_last("created_at"), F.col("question"), F.col("answer")).select(F.col("gq_id").alias("key"), "question", "answer", F.coalesce("answerable", F.lit(True)).alias("answerable"), stands.alias("passage"))
     return cases.unionByName(made)
 
 

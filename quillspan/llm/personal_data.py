@@ -10,6 +10,7 @@ partition function runs over the same candidates.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.pair_defects import WORDS
+from quillspan.plans.once import once
 from quillspan.sources.tables import table
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
@@ -85,8 +87,6 @@ def number_features(s: str) -> list[str]:
         out.append("insee")
     if re.fullmatch(r"[A-Z]{1,2}\d{6,8}[A-Z]?", bare):
         out.append("passport")
-    if "555" in d[3:7] or re.search(r"\b0?1?99 ?00|7946|910|23125", s):
-        out.append("reserved")
     if re.search(r"[A-Z]", bare):
         out.append("letters")
     if re.match(r"(?:19|20)\d\d[.\-/ ]\d\d?[.\-/ ]\d\d?", s):
@@ -209,9 +209,7 @@ class Model:
         scored = [(a, b, k, s) for a, b, k, f in cands if (s := self.score(k, f)) > 0]
         ends, best, back = [0], [0.0], [None]
         for a, b, k, s in scored:
-            lo = len(ends) - 1
-            while lo >= 0 and ends[lo] > a:
-                lo -= 1
+            lo = bisect.bisect_right(ends, a) - 1  # ends ascend
             value = best[lo] + s
             if value > best[-1]:
                 ends.append(b)
@@ -409,10 +407,16 @@ def found_in(text: str, segmenter: Segmenter, model: Model) -> list[tuple[int, i
     return model.decode(segmenter.candidates(text))
 
 
-def name_parts(parts: DataFrame, most: int = 100_000) -> tuple[list[str], list[str]]:
-    """Given and family name parts of parts(name_part, part_kind), at most `most` of each (a bound on what is broadcast)."""
-    rows = parts.where("name_part is not null").select("name_part", "part_kind").distinct().orderBy("part_kind", "name_part").limit(2 * most).collect()
-    return [r.name_part for r in rows if r.part_kind == "given"][:most], [r.name_part for r in rows if r.part_kind == "family"][:most]
+def name_parts(parts: DataFrame, most: int = 1_000_000) -> tuple[list[str], list[str]]:
+    """All given and family name parts of parts(name_part, part_kind), in order.
+
+    They are a reference list that goes to every executor; one of more than `most` rows is refused rather than cut.
+    """
+    some = parts.where("name_part is not null").select("name_part", "part_kind").distinct()
+    if (n := some.count()) > most:
+        raise ValueError(f"{n} name parts")
+    rows = some.orderBy("part_kind", "name_part").collect()
+    return [r.name_part for r in rows if r.part_kind == "given"], [r.name_part for r in rows if r.part_kind == "family"]
 
 
 def find_personal_data(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -444,19 +448,19 @@ def find_personal_data(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, folder, "chunks").where("chunk_id is not null").select(F.col("chunk_id").alias("key"), F.col("content").alias("text"))
-    return rows, table(spark, folder, "name_parts")
+    rows = once(table(spark, folder, "chunks").select("chunk_id", "content", "created_at"), "chunk_id", F.desc_nulls_last("created_at"), F.col("content"))
+    return rows.select(F.col("chunk_id").alias("key"), F.col("content").alias("text")), table(spark, folder, "name_parts")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items of personal data in the chunks' contents, each once for a re-delivered chunk."""
     found = find_personal_data(*_inputs(spark, folder)).select("key", F.explode("items").alias("item"))
-    return found.select(F.col("key").alias("chunk_id"), F.col("item.kind").alias("pii_kind"), F.col("item.start").alias("start_pos")).distinct()
+    return found.select(F.col("key").alias("chunk_id"), F.col("item.kind").alias("pii_kind"), F.col("item.start").alias("start_pos"))
 
 
 def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The chunks' contents with typed placeholders."""
-    return find_personal_data(*_inputs(spark, folder)).select(F.col("key").alias("chunk_id"), "redacted").dropDuplicates(["chunk_id"])
+    return find_personal_data(*_inputs(spark, folder)).select(F.col("key").alias("chunk_id"), "redacted")
 
 
 QUERIES = {"p7_found": p7_found, "p7_redacted": p7_redacted}

@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.plans.spool import spool
+from quillspan.plans.once import once
+from quillspan.plans.spool import new_path, spool
 from quillspan.sources.tables import table
 
 LIMIT = 2048
@@ -73,8 +75,7 @@ def boundary_kinds(rows: DataFrame, limit: int = LIMIT, size: int = RANGE, halo:
     boundary is the first of KINDS such that cutting at all places of this kind and the coarser ones leaves no segment
     above the limit, or "none". Null and short texts give no row, repeated keys one.
     """
-    large = rows.where((F.length("text") > limit) & F.col("key").isNotNull()).dropDuplicates(["key"])
-    return _kinds_of(spool(range_cuts(ranges(large, size, halo))), limit)
+    return _kinds_of(spool(range_cuts(ranges(_large(rows, limit), size, halo))), limit)
 
 
 def _kinds_of(tabled: DataFrame, limit: int) -> DataFrame:
@@ -103,34 +104,52 @@ def _kinds_of(tabled: DataFrame, limit: int) -> DataFrame:
     return whole.select("key", "total", named.alias("boundary"))
 
 
-def walk(cuts: np.ndarray, kinds: np.ndarray, lo: int, hi: int, limit: int, overlap: int, lead: int) -> list[tuple[int, int]]:
-    """Ends of pieces of lo..hi: each as far as the limit allows, at the coarsest kind of cut in its second half, else at
-    the last cut, else at the limit. `lead` characters of overlap precede the first piece."""
-    out, start, room = [], lo, limit - lead
-    while hi - start > room:
-        i, j = np.searchsorted(cuts, [start + 1, start + room + 1])
-        end = start + room
-        if j > i:
-            half = np.searchsorted(cuts, start + room // 2 + 1)
-            a = max(i, half) if half < j else i
-            best = kinds[a:j].min()
-            end = int(cuts[a:j][kinds[a:j] == best][-1])
-        out.append((start, end))
-        start, room = end, limit - overlap
-    out.append((start, hi))
-    return out
+class Walk:
+    """Pieces of one text, range after range: each ends as far as the limit allows, at the coarsest kind of cut in its second
+    half, else at the last cut, else at the limit. What a piece is depends on the text alone, not on its ranges."""
+
+    def __init__(self, total: int, limit: int, overlap: int):
+        self.total, self.limit, self.overlap = total, limit, overlap
+        self.start, self.number = 0, 0
+        self.cuts, self.kinds = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def take(self, cuts: np.ndarray, kinds: np.ndarray, known: int) -> Iterator[tuple[int, int, int]]:
+        """(number, start, end) of the pieces that the cuts up to `known` settle."""
+        self.cuts, self.kinds = np.concatenate([self.cuts, cuts]), np.concatenate([self.kinds, kinds])
+        while True:
+            room = self.limit - (self.overlap if self.start else 0)
+            if self.total - self.start <= room:
+                if known >= self.total and self.start < self.total:
+                    yield self._piece(self.total)
+                return
+            if self.start + room > known:
+                return
+            i, j = np.searchsorted(self.cuts, [self.start + 1, self.start + room + 1])
+            end = self.start + room
+            if j > i:
+                half = np.searchsorted(self.cuts, self.start + room // 2 + 1)
+                a = max(i, half) if half < j else i
+                best = self.kinds[a:j].min()
+                end = int(self.cuts[a:j][self.kinds[a:j] == best][-1])
+            yield self._piece(end)
+            keep = np.searchsorted(self.cuts, end, side="right")
+            self.cuts, self.kinds = self.cuts[keep:], self.kinds[keep:]
+
+    def _piece(self, end: int) -> tuple[int, int, int]:
+        out = (self.number, max(0, self.start - (self.overlap if self.start else 0)), end)
+        self.start, self.number = end, self.number + 1
+        return out
 
 
 def split_pieces(rows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE, halo: int = HALO) -> DataFrame:
     """rows(key, text) -> (key, piece_no, start_char, end_char, content) of the texts longer than `limit` characters.
 
     Pieces are at most `limit` characters long, cover the text, and each but the first begins `overlap` characters
-    before the end of the one before. Every range ends its pieces at its last cut, so ranges are cut independently; a
-    text of one range is cut as a whole. Null and short texts give no row, repeated keys one.
+    before the end of the one before. Null and short texts give no row, repeated keys one.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be under half of the limit")
-    large = rows.where((F.length("text") > limit) & F.col("key").isNotNull()).dropDuplicates(["key"]).select("key", "text")
+    large = _large(rows, limit)
     spans = piece_spans(range_cuts(ranges(large, size, halo)), limit, overlap)
     # Each piece is cut out of the range that it begins in: the halo is longer than a piece.
     parts = ranges(large, size, max(halo, limit)).select("key", "part", "start", "piece")
@@ -138,22 +157,30 @@ def split_pieces(rows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, si
     return placed.join(parts, ["key", "part"]).select("key", "piece_no", "start_char", "end_char", F.expr("substring(piece, start_char - start + 1, end_char - start_char)").alias("content"))
 
 
+def _large(rows: DataFrame, limit: int) -> DataFrame:
+    """The texts above the limit, each key once: of several texts the first in order."""
+    return once(rows.where(F.length("text") > limit).select("key", "text"), "key", F.col("text"))
+
+
 def piece_spans(tabled: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """Cut tables of ranges -> (key, piece_no, start_char, end_char). Ranges are stitched at their last cut."""
-    order = Window.partitionBy("key").orderBy("part")
-    last = F.when(F.col("hi") == F.col("total"), F.col("total")).otherwise(F.coalesce(F.try_element_at("at", F.lit(-1)), F.col("hi")))
-    stitched = tabled.withColumn("to", last).withColumn("from", F.coalesce(F.lag("to").over(order), F.lit(0)))
+    """Cut tables of ranges (key, total, part, hi, at, kind) -> (key, piece_no, start_char, end_char).
+
+    A text's cut tables come to one task in order and are stitched there as they come: what is held are the cuts of one
+    range and those of an unfinished piece, however long the text is.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, walk = None, None
         for f in frames:
             out = []
-            for key, part, a, b, at, kind, lo in zip(f["key"], f["part"], f["from"], f["to"], f["at"], f["kind"], f["lo"], strict=True):
-                found = walk(np.asarray(at), np.asarray(kind), int(a), int(b), limit, overlap, overlap if a else 0)
-                out += [(key, int(part), i, max(0, s - (overlap if s else 0)), e) for i, (s, e) in enumerate(found) if e > s]
-            yield pd.DataFrame(out, columns=["key", "part", "i", "start_char", "end_char"])
+            for k, total, hi, at, kind in zip(f["key"], f["total"], f["hi"], f["at"], f["kind"], strict=True):
+                if walk is None or k != key:
+                    key, walk = k, Walk(int(total), limit, overlap)
+                out += [(key, *piece) for piece in walk.take(np.asarray(at, np.int64), np.asarray(kind, np.int64), int(hi))]
+            yield pd.DataFrame(out, columns=["key", "piece_no", "start_char", "end_char"])
 
-    cut = stitched.select("key", "part", "lo", "from", "to", "at", "kind").mapInPandas(run, "key string, part int, i int, start_char int, end_char int")
-    return cut.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("start_char")) - 1).alias("piece_no"), "start_char", "end_char")
+    in_order = tabled.select("key", "total", "part", "hi", "at", "kind").repartition("key").sortWithinPartitions("key", "part")
+    return in_order.mapInPandas(run, "key string, piece_no int, start_char int, end_char int")
 
 
 def split_files(spark: SparkSession, files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE, halo: int = HALO) -> DataFrame:
@@ -173,9 +200,9 @@ def split_files(spark: SparkSession, files: DataFrame, limit: int = LIMIT, overl
             for key, path, part in zip(f["key"], f["path"], f["part"], strict=True):
                 lo = int(part) * size
                 begin = max(0, lo - halo)
-                with open(path, "rb") as h:
-                    h.seek(begin)
-                    raw = h.read(lo - begin + size + halo)
+                system, at = FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+                with system.open_input_file(at) as h:
+                    raw = h.read_at(max(0, min(lo - begin + size + halo, h.size() - begin)), begin)
                 a, b = whole(raw, lo - begin), whole(raw, min(len(raw), lo - begin + size))
                 head = raw[whole(raw, 0) if begin else 0 : a].decode("utf-8", "replace")
                 body = raw[a:b].decode("utf-8", "replace")
@@ -206,5 +233,42 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_pieces(_chunks(spark, folder)).withColumnRenamed("key", "chunk_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
-ORACLES: dict[str, str] = {}
+def p2_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """(chunk_id, exact, within, overlapping, whole): what pieces must be, per content."""
+    pieces = p2_pieces(spark, folder).withColumnRenamed("chunk_id", "key").join(_large(_chunks(spark, folder), LIMIT), "key")
+    order = Window.partitionBy("key").orderBy("piece_no")
+    before = F.lag("end_char").over(order)
+    good = pieces.withColumn("linked", F.when(before.isNull(), F.col("start_char") == 0).otherwise(F.col("start_char") == F.greatest(F.lit(0), before - OVERLAP)))
+    by = good.groupBy("key").agg(F.bool_and(F.expr("content = substring(text, start_char + 1, end_char - start_char)")).alias("exact"), F.bool_and(F.length("content") <= LIMIT).alias("within"), F.bool_and("linked").alias("overlapping"), (F.max("end_char") == F.max(F.length("text"))).alias("whole"))
+    return by.withColumnRenamed("key", "chunk_id")
+
+
+def p2_file_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, piece_no, start_char, end_char): all contents as a few large files, split by byte ranges without loading one whole."""
+    path = new_path(spark, "texts")
+    _chunks(spark, folder).where("text is not null").select("text").coalesce(4).write.text(path)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length")
+    files = listed.where("length > 0").select(F.element_at(F.split("path", "/"), -1).alias("key"), "path", F.col("length").alias("bytes"))
+    return split_files(spark, files)
+
+
+# Cuts of a kind and of the coarser ones, marked and counted; a mark may stand within a run of white space.
+_SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_LEVELS = {
+    "paragraph": r"regexp_replace(content, '(\n\n+)', '\1' || chr(30), 'g')",
+    "line": r"regexp_replace(content, '(\n+)', '\1' || chr(30), 'g')",
+}
+_LEVELS["sentence"] = rf"regexp_replace({_LEVELS['line']}, '([.!?][\"'')\]]?{_SPACE}+)', '\1' || chr(30), 'g')"
+_LEVELS["word"] = rf"regexp_replace(content, '({_SPACE}+)', '\1' || chr(30), 'g')"
+
+
+def _fits(level: str) -> str:
+    return f"list_max(list_transform(string_split({_LEVELS[level]}, chr(30)), lambda x: length(x))) <= {LIMIT}"
+
+
+_LONG = f"SELECT DISTINCT chunk_id, content FROM chunks WHERE length(content) > {LIMIT} AND chunk_id IS NOT NULL"
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_cover": p2_cover, "p2_file_pieces": p2_file_pieces}
+ORACLES: dict[str, str] = {
+    "p2_found": f"SELECT chunk_id, CASE {' '.join(f'WHEN {_fits(k)} THEN ' + chr(39) + k + chr(39) for k in KINDS)} ELSE 'none' END AS boundary FROM ({_LONG})",
+    "p2_cover": f"SELECT DISTINCT chunk_id, true AS exact, true AS within, true AS overlapping, true AS whole FROM ({_LONG})",
+}

@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.plans.spool import spool
+from quillspan.plans.spool import counted, spool
 from quillspan.sources.tables import table
 
-#: A length is a limit of a source when at least MIN_AT texts have it, at least TIMES as often as the mean of the
+#: A length is a limit of a source when at least MIN_AT different texts have it, at least TIMES as often as the mean of the
 #: NEAR lengths on either side, and no more than half of those at it end with a closed sentence or block.
 MIN_AT = 4
+#: Rows of a side table that is sent to all executors at most.
+SENT = 1_000_000
 TIMES = 6.0
 NEAR = 25
 
@@ -66,6 +68,8 @@ _TORN = re.compile(
 #: Marks that a store leaves where it cut: an ellipsis in brackets, or one after a word that has no stop of its own.
 _MARKED = re.compile(r"\s(?:\[(?:\.{3}|…)\]|\((?:\.{3}|…)\))\s*$")
 _PROSE_WORDS = 4
+# Articles, prepositions and conjunctions that no text ends with.
+_OPEN = frozenset("the a an and or of to in with for from by at on as that which because der die das den dem des ein eine und oder von zu mit für im vom zum zur le la les un une des du et ou de à au aux dans pour avec el los las una y o del al en con por para que".split())
 
 
 def ending(text: str, at_limit: bool) -> bool:
@@ -86,6 +90,9 @@ def ending(text: str, at_limit: bool) -> bool:
         return True
     if _CLOSED.search(stripped):
         return False
+    last = re.search(r"[^\W\d_]+$", stripped)
+    if last and len(stripped.split()) > 3 and last.group().islower() and last.group() in _OPEN and not _ITEM.match(line):
+        return True
     if _TORN.search(stripped) and not stripped.endswith((")",)):
         return not _LABEL.search(stripped) or stripped.endswith(",")
     if _ITEM.match(line) or _LABEL.search(stripped):
@@ -120,20 +127,20 @@ def _ends_cut(text: pd.Series, at_limit: pd.Series) -> pd.Series:
 
 
 def measured(rows: DataFrame) -> DataFrame:
-    """rows(key, source, text) -> (key, source, lens map<form, length>) of the texts that aren't null or empty."""
+    """rows(key, source, text) -> (key, source, a length for each form, closed, h) of the texts that aren't null or empty; h is a hash of the text."""
     forms = lengths(F.col("text"))
     some = rows.where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("key").isNotNull())
-    return some.select("key", source_key().alias("source"), *[v.cast("int").alias(k) for k, v in forms.items()], F.expr("text rlike '[.!?>}`|][\\\\s]*$'").alias("closed"))
+    return some.select("key", source_key().alias("source"), *[v.cast("int").alias(k) for k, v in forms.items()], F.expr("text rlike '[.!?>}`|][\\\\s]*$'").alias("closed"), F.xxhash64("text").alias("h"))
 
 
 def hidden_limits(lens: DataFrame) -> DataFrame:
-    """(source, form, length, texts): the lengths that show a storage limit, each under the form that shows it best."""
+    """(source, form, length, texts): the lengths that show a storage limit, under each form. A text counts once, however often it comes."""
     forms = list(lengths(F.col("text")))
-    long = lens.select("source", "closed", F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.col(f).alias("length")) for f in forms])).alias("x"))
+    long = lens.dropDuplicates(["source", "h"]).select("source", "closed", F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.col(f).alias("length")) for f in forms])).alias("x"))
     counts = long.groupBy("source", "x.form", "x.length").agg(F.count("*").alias("texts"), F.count_if("closed").alias("closed"))
     by = Window.partitionBy("source", "form").orderBy("length").rangeBetween(-NEAR, NEAR)
     near = (F.sum("texts").over(by) - F.col("texts")) / F.lit(2.0 * NEAR)
-    spikes = counts.withColumn("near", near).where((F.col("texts") >= MIN_AT) & (F.col("length") >= 64) & (F.col("texts") >= TIMES * F.greatest("near", F.lit(0.5))) & (2 * F.col("closed") <= F.col("texts")))
+    spikes = counts.withColumn("near", near).where((F.col("texts") >= MIN_AT) & (F.col("texts") >= TIMES * F.greatest("near", F.lit(0.5))) & (2 * F.col("closed") <= F.col("texts")))
     return spikes.select("source", "form", "length", "texts")
 
 
@@ -147,17 +154,20 @@ def truncated(rows: DataFrame) -> DataFrame:
     limits = hidden_limits(lens)
     forms = list(lengths(F.col("text")))
     per_source = limits.groupBy("source").agg(F.collect_set(F.concat_ws(":", "form", "length")).alias("limits"))
-    # Few limits stand out of a source: their number is bounded by its texts / MIN_AT and in practice by a dozen forms.
-    at = lens.join(per_source, "source", "left").select("key", F.coalesce(F.arrays_overlap(F.array(*[F.concat_ws(":", F.lit(f), F.col(f)) for f in forms]), "limits"), F.lit(False)).alias("limited"))
-    hit = at.where("limited").groupBy("key").agg(F.first("limited").alias("limited"))
+    # A row for each source that has limits, and one for each text at a limit: sent to all executors if they are few, so
+    # that neither texts nor lengths are shuffled, and joined else.
+    per_source, sources = counted(per_source)
+    few = lambda df, n: F.broadcast(df) if n <= SENT else df
+    own = F.array(*[F.concat_ws(":", F.lit(f), F.col(f)) for f in forms])
+    hit, number = counted(lens.join(few(per_source, sources), "source").where(F.arrays_overlap(own, "limits")).select("key", F.lit(True).alias("limited")).distinct())
     texts = rows.where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("key").isNotNull())
-    tail = texts.select("key", source_key().alias("source"), "text").join(hit, "key", "left")
+    tail = texts.select("key", source_key().alias("source"), "text").join(few(hit, number), "key", "left")
     return tail.select("key", "source", F.coalesce("limited", F.lit(False)).alias("limited"), F.pandas_udf(_ends_cut, "boolean")("text", F.coalesce("limited", F.lit(False))).alias("cut"))
 
 
 def truncation_rates(rows: DataFrame) -> DataFrame:
-    """(source, texts, cut, rate): how often each source truncates."""
-    by = truncated(rows).groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"))
+    """(source, texts, cut, at_limit, rate): how often each source truncates, and how many of its cut texts lie at a hidden limit."""
+    by = truncated(rows).groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"), F.count_if(F.col("cut") & F.col("limited")).alias("at_limit"))
     return by.withColumn("rate", F.round(F.col("cut") / F.col("texts"), 6))
 
 

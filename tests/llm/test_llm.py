@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.llm import batch_linkage, markup, mixing, near_copies, neighbors, overlap_join, packing, pair_defects, personal_data, splitting, truncation
@@ -141,13 +142,16 @@ def test_pieces_cover_the_text(spark, tmp_path):
     text = "".join(rng.choice(["wörd ", "end. ", "line\n", "para\n\n", "x" * 40]) for _ in range(3000))
     rows = [("a", text), ("b", "x" * 5000), ("c", None), ("d", "short"), ("e", "")]
     df = spark.createDataFrame(rows, "key string, text string")
-    for size in (1 << 16, 3000):
+    cut = {}
+    for size in (1 << 16, 3000, 1000):
         pieces = splitting.split_pieces(df, limit=500, overlap=20, size=size, halo=200).orderBy("key", "piece_no").collect()
+        cut[size] = [tuple(p) for p in pieces]
         for key, t in rows[:2]:
             own = [p for p in pieces if p.key == key]
             assert own[0].start_char == 0 and own[-1].end_char == len(t)
             assert all(p.content == t[p.start_char : p.end_char] and len(p.content) <= 500 for p in own)
             assert all(n.start_char == p.end_char - 20 for p, n in itertools.pairwise(own))
+    assert cut[1 << 16] == cut[3000] == cut[1000]  # where a piece ends doesn't depend on the ranges
     kinds = {r.key: r.boundary for r in splitting.boundary_kinds(df, limit=500, size=3000, halo=200).collect()}
     assert kinds["b"] == "none" and set(kinds) == {"a", "b"}
     path = tmp_path / "giant.txt"
@@ -199,7 +203,10 @@ def test_markup_held_out():
     text = "## Head\n\nSee **this** &amp; $x_{1}$.\n\n- one\n- two"
     found = markup.labelled(text, False, chain)
     assert {y for _, y in found} >= {"markdown", "html", "latex"}
-    assert markup.clean(text, found) == "Head\n\nSee this & $x_{1}$.\n\n- one\n- two"
+    assert markup.clean(text, found) == "## Head\n\nSee this & $x_{1}$.\n\n- one\n- two"
+    kept = lambda t: markup.clean(t, markup.labelled(t, False, chain))
+    assert kept("== Part ==\n\n[[a|b]] and '''c'''.") == "# Part\n\nb and c."
+    assert kept("Some **bold** words.\n\n```py\nx = 1\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |") == "Some bold words.\n\n```\nx = 1\n```\n\na | b\n\n1 | 2"
     assert markup.labelled("", False, chain) == []
 
 
@@ -246,6 +253,20 @@ def test_names_without_a_listed_part_are_found():
         assert personal_data.found_in(text, segmenter, model) == []
 
 
+def test_all_name_parts_count(spark):
+    parts = spark.createDataFrame([(f"F{i}", "family") for i in range(30)] + [(f"G{i}", "given") for i in range(3)], "name_part string, part_kind string")
+    given, family = personal_data.name_parts(parts)
+    assert len(given) == 3 and len(family) == 30
+    with pytest.raises(ValueError):
+        personal_data.name_parts(parts, 10)
+
+
+def test_packing_joins_large_side_tables(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SENT", 0)
+    monkeypatch.setattr(packing, "A_SALT", 5)
+    test_packing(spark)
+
+
 def test_packing(spark):
     rng = random.Random(6)
     sizes = [rng.choice([rng.randint(1, 60), 512, 700, 0]) for _ in range(800)]
@@ -287,5 +308,7 @@ def test_truncation(spark):
     df = spark.createDataFrame(rows, "key long, source string, text string")
     cut = {r.key for r in truncation.truncated(df).where("cut").collect()}
     assert {i for i, t in enumerate(long) if not t[:300].rstrip().endswith(".")} <= cut
+    open_end = spark.createDataFrame([(1, "wiki", "See also the handbook section on refunds and the"), (2, "wiki", "See also Brin, Dask")], "key long, source string, text string")
+    assert {r.key for r in truncation.truncated(open_end).where("cut").collect()} == {1}
     assert 2002 in cut and 2003 not in cut and not any(1000 <= k < 2000 for k in cut)
     assert truncation.truncated(df.limit(0)).count() == 0
