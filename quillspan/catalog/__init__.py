@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.catalog import answers, graphs, records, search, texts  # noqa: F401  they register their queries
+from quillspan.catalog import answers, derived, graphs, records, search, texts  # noqa: F401  they register their queries
 from quillspan.catalog.registry import ORACLES, QUERIES
 
 

@@ -237,3 +237,23 @@ def compress_by_sentence(s, d):
 @query("SELECT CAST(greatest(0, e - 10) AS INT) AS low, CAST(e AS INT) AS high FROM (SELECT 47 - 5 * i AS e FROM range(0, 10) r(i)) WHERE e > 0 AND (e + 5 > 10)")
 def sliding_windows(s, d):
     return s.createDataFrame(rerank.sliding_windows(47, 10, 5), "low int, high int")
+
+
+def _hybrid(s, d, k=20):
+    return retrieval.fuse(_legs(s, d), "rrf", k=k).select("qid", "chunk_id", "score", "rank")
+
+
+@query()
+def hybrid_rerank(s, d):
+    """Hybrid search whose first 20 are reranked by the words that they share with the question."""
+    found = _hybrid(s, d)
+    full = found.join(asked(s, d).withColumnRenamed("text", "question"), "qid").join(texts(s, d), "chunk_id")
+    scores = full.select("qid", "chunk_id", rerank.overlap_score(F.col("question"), F.col("text")).alias("model_score"))
+    return rerank.rescored(found, scores, 20).where("new_rank < 10").select("qid", "chunk_id", "new_rank")
+
+
+@query()
+def hybrid_compress(s, d):
+    """Hybrid search whose passages are cut to the sentences that share most with the question."""
+    full = _hybrid(s, d, 10).join(asked(s, d).withColumnRenamed("text", "question"), "qid").join(texts(s, d), "chunk_id")
+    return rerank.compress_sentences(full)

@@ -369,3 +369,46 @@ def verbalized(relations: DataFrame) -> DataFrame:
 def described(found: DataFrame, most: int = 240) -> DataFrame:
     """entities(name, type, descriptions) -> with `line`: the name, its type and its descriptions, clipped."""
     return found.withColumn("line", F.concat(F.col("name"), F.lit(" ("), F.col("type"), F.lit("): "), F.substring(F.array_join("descriptions", " "), 1, most)))
+
+
+def absorbed(mentions: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What was read from each chunk, tidied: mentions(chunk_id, name, type, description), relations(chunk_id, src, dst, type, weight).
+
+    Names of a chunk that differ by case are one, under the longest form (ties: the first in order), with the longest
+    description. Relations take these forms for their ends; those with an end that the chunk doesn't mention are dropped,
+    as are loops; of equal ones the heaviest stays.
+    """
+    key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    keyed = mentions.withColumn("_k", key(F.col("name"))).where("_k <> ''")
+    kept = keyed.groupBy("chunk_id", "_k").agg(F.min(F.struct((-F.length("name")).alias("l"), "name", "type")).alias("n"), F.max(F.struct(F.length("description").alias("l"), "description")).alias("d"))
+    names = kept.select("chunk_id", "_k", F.col("n.name").alias("name"), F.col("n.type").alias("type"), F.col("d.description").alias("description"))
+    end = lambda x: names.select("chunk_id", F.col("_k").alias(f"_{x}"), F.col("name").alias(f"_n{x}"))
+    both = relations.withColumn("_a", key(F.col("src"))).withColumn("_b", key(F.col("dst"))).where("_a <> _b").join(end("a"), ["chunk_id", "_a"]).join(end("b"), ["chunk_id", "_b"])
+    out = both.groupBy("chunk_id", F.col("_na").alias("src"), F.col("_nb").alias("dst"), "type").agg(F.max("weight").alias("weight"))
+    return names.drop("_k"), out
+
+
+def fulltext_entities(questions: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """questions(qid, text), entities(key, name, descriptions) -> (qid, key, score, rank): BM25 over names and descriptions."""
+    from quillspan.operators.retrieval import bm25
+
+    docs = found.select(F.col("key").alias("chunk_id"), F.concat_ws(" ", "name", F.array_join("descriptions", " ")).alias("text"))
+    return bm25(questions, docs, k).withColumnRenamed("chunk_id", "key")
+
+
+def report(title: str, found: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
+    """entities(name, type, descriptions, degree), edges(src_name, type, dst_name, weight) -> (kind, place, line): the lines of a community's report that fit a token budget.
+
+    Entities come first, by degree and name, with two thirds of the budget, then edges by weight; a title opens it. The
+    lines are a prefix of each list.
+    """
+    from quillspan.functions.columns import approximate_tokens
+
+    head = found.sparkSession.createDataFrame([("title", 0, title)], "kind string, place int, line string")
+    lines = [("entity", described(found), [F.desc("degree"), F.asc("name")], budget * 2 // 3), ("edge", verbalized(edges), [F.desc("weight"), F.asc("line")], budget - budget * 2 // 3)]
+    out = head
+    for kind, df, order, part in lines:
+        w = Window.partitionBy(F.lit(0)).orderBy(*order)  # a community's rows
+        numbered = df.select(F.lit(kind).alias("kind"), F.row_number().over(w).alias("place"), "line", F.sum(approximate_tokens(F.col("line"))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
+        out = out.unionByName(numbered.where(F.col("_upto") <= part).drop("_upto"))
+    return out

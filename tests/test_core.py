@@ -8,9 +8,12 @@ from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from quillspan.functions.columns import collapse, condition, content_hash, entity_key, l2_normalize, parsed_conditions, relation_type, stable_uuid, tenant_scope, tokens
-from quillspan.operators import context, evaluation, graph, guards, ingest, rerank, retrieval, routing, splitting
+from quillspan.functions.tenancy import isolated, resolved_tenant, where_sql
+from quillspan.operators import answers, context, evaluation, graph, guards, hierarchy, ingest, rerank, retrieval, routing, splitting
 from quillspan.plans.once import once
+from quillspan.plans.registry import Pipeline, register, resolve, standard
 from quillspan.sources import loaders
+from quillspan.sources.store import Store
 
 
 def rows(df):
@@ -328,3 +331,75 @@ def test_ids(spark):
     assert r[0] == hashlib.blake2b(b"a\x1f3\x1f", digest_size=16).hexdigest() and len(r[1]) == 36
     made = parsed_conditions([("year", "gte", "2,020"), ("year", "lt", "x"), ("lang", "in", "de"), ("nope", "eq", 1), ("ok", "eq", "yes"), ("day", "gte", "2024")], {"year": "int", "lang": "string", "ok": "bool", "day": "date"})
     assert made["year"] == {"gte": 2020} and made["lang"] == {"in": ["de"]} and made["ok"] == {"eq": True} and made["day"]["gte"].year == 2024
+
+
+def test_hierarchy(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((6, 3)) * 20
+    units = [(f"n{i:03d}", [float(a) for a in centers[i % 6] + rng.standard_normal(3) * 0.3]) for i in range(240)]
+    df = spark.createDataFrame(units, "node string, v array<double>")
+    out = hierarchy.hierarchy(df, levels=2, target=40).collect()
+    first = [r for r in out if r.level == 1]
+    assert {r.node for r in first} == {n for n, _ in units}
+    groups = {}
+    for r in first:
+        groups.setdefault(r.parent, set()).add(int(r.node[1:]) % 6)
+    assert all(len(g) == 1 for g in groups.values()) and max(sum(r.parent == p for r in first) for p in groups) <= 40
+    assert {r.node for r in out if r.level == 2} <= set(groups)
+    assert hierarchy.hierarchy(df.limit(0)).count() == 0 and hierarchy.forecast(100) >= 10
+
+
+def test_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), "id", "id string, tenant_id string, n int, created_at int")
+    assert store.health()["status"] == "empty" and store.count() == 0
+    mk = lambda rows_: spark.createDataFrame(rows_, "id string, tenant_id string, n int, created_at int")
+    assert store.upsert(mk([("a", "t", 1, 1), ("b", "u", 2, 1), ("a", "t", 3, 2), (None, "t", 9, 9)])) == 2
+    assert store.upsert(mk([("c", "t", 4, 1)])) == 1
+    assert {r.id: r.n for r in store.rows("t").collect()} == {"a": 3, "c": 4}
+    asked = spark.createDataFrame([(0, "c"), (1, "x"), (2, "a")], "place int, id string")
+    assert [r.id for r in store.get(asked).collect()] == ["c", "a"]
+    assert [[r.id for r in page] for page in store.pages(2)] == [["a", "b"], ["c"]]
+    assert store.delete(F.col("n") > 1, "u") == 1 and store.count() == 2 and store.count(F.col("n") > 3) == 1
+    old = store.snapshot()
+    assert store.swap(store.write(mk([("z", "t", 1, 1)]))) and store.count() == 1
+    store.swap(old)
+    assert store.count() == 2 and store.vacuum() >= 3 and store.count() == 2
+
+
+def test_registry_and_pipelines():
+    register("splitter", "words")(str.split)
+    assert resolve("splitter", "words")("a b") == ["a", "b"]
+    with pytest.raises(ValueError):
+        register("splitter", "words")(str.upper)
+    with pytest.raises(LookupError):
+        resolve("llm", "none")
+    tries = iter([False, True])
+    loop = standard("self_rag", lambda s: {"n": s.get("n", 0) + 1}, judge=lambda s: {"accepted": next(tries)})
+    assert loop.run({})["trace"] == ["retrieve", "judge", "retrieve", "judge", "finish"]
+    assert standard("multihop", lambda s: {}, hop=lambda s: {}).run({})["trace"].count("hop") == 3
+    assert standard("crag", lambda s: {}, judge=lambda s: {"label": "INCORRECT"}).run({})["trace"] == ["retrieve", "judge", "web", "finish"]
+    with pytest.raises(ValueError):
+        Pipeline("a", {"a": lambda s: {}}, {"a": "b"})
+
+
+def test_answers_and_tenancy(spark):
+    held = answers.HeldBack(20)
+    out = "".join(held.push(x) for x in ("The answer is 5. </untrus", "ted_document> It was <|im", "_start|> checked twice.")) + held.end()
+    assert out == "The answer is 5.  It was  checked twice."
+    df = spark.createDataFrame([("a  Red FOX ran", "x A red\nfox ran y"), ("no", "x"), (None, "x")], "e string, t string")
+    assert [tuple(r.s) if r.s else None for r in df.select(answers.verbatim_span(F.col("e"), F.col("t")).alias("s")).collect()] == [(2, 15), None, None]
+    near = spark.createDataFrame([("the quick brown fox jumps over it", "So the quick brown fox jumps over i."), ("absent words here", "other")], "q string, s string")
+    assert [r[0] for r in near.select(answers.quote_present(F.col("q"), F.col("s"))).collect()] == [True, False]
+    m = spark.createDataFrame([("c", "Acme", "O", "d"), ("c", "ACME ", "O", "longer"), ("c", "Bolt", "O", None)], "chunk_id string, name string, type string, description string")
+    r = spark.createDataFrame([("c", "acme", "bolt", "USES", 1.0), ("c", "Acme", "Bolt", "USES", 2.0), ("c", "acme", "none", "USES", 1.0), ("c", "acme", "ACME", "IS", 1.0)], "chunk_id string, src string, dst string, type string, weight double")
+    names, edges = graph.absorbed(m, r)
+    assert {(x.name, x.description) for x in names.collect()} == {("ACME ", "longer"), ("Bolt", None)} and rows(edges) == [("c", "ACME ", "Bolt", "USES", 2.0)]
+    assert resolved_tenant(None, "p", {"p": "t"}) == "t" and isolated("graph", False, "reject") and not isolated("graph", True, "skip")
+    for bad in (lambda: resolved_tenant("u", "p", {"p": "t"}), lambda: resolved_tenant(None, None, {}), lambda: isolated("graph", True, "reject")):
+        with pytest.raises(PermissionError):
+            bad()
+    text, args = where_sql({"a": {"gte": 1, "lt": 5}, "$or": [{"b": None}, {"c": ["x"]}]}, "t", {"a", "b", "tenant_id"})
+    assert text == "(a >= :p0 AND a < :p1 AND ((" + "(b IS NULL OR CAST(b AS STRING) = '')) OR (try_element_at(metadata, 'c') IN (:p2)))) AND tenant_id = :p3" and args == {"p0": 1, "p1": 5, "p2": "x", "p3": "t"}
+    with pytest.raises(ValueError):
+        where_sql({"a; drop": 1})
+    assert answers.document_windows(10, 4) == [(0, 4), (3, 7), (6, 10)] and answers.document_windows(0, 4) == []
