@@ -2,11 +2,12 @@
 
 Every defect has several labelling functions that vote for it (1), against it (0) or abstain (-1). The label model is
 learned from the counts of vote patterns, which are few whatever the number of pairs, and gives each pattern a posterior
-for each defect; a pair keeps every defect whose posterior exceeds the cutoff.
+for each defect; a pair keeps every defect whose posterior exceeds the defect's cutoff, which is validated on composed pairs in each run.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -15,13 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.llm.pair_samples import composed_pairs
 from quillspan.plans.once import once
 from quillspan.plans.spool import spool
 from quillspan.sources.tables import table
 
 DEFECTS = ("empty", "truncated", "refusal", "echo", "language", "dependent")
-#: Posterior above which a defect is kept, the same for all; not chosen on labelled pairs, of which there are none.
-CUTOFF = 0.5
+#: Posteriors above which a defect is kept: each defect has the one of these that does best on VALIDATION composed pairs.
+CUTOFFS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
+VALIDATION = 1_500
+SEED = 31
 #: Defects in the order in which one is named where only one may be.
 PRECEDENCE = ("empty", "refusal", "echo", "language", "truncated", "dependent")
 
@@ -146,7 +150,33 @@ def label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 30) -
     return {tuple(int(v) for v in p): float(v) for p, v in zip(x, g, strict=True)}
 
 
-def defects(pairs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def validated_cutoffs(posteriors: dict[str, dict[tuple[int, ...], float]], count: int = VALIDATION, seed: int = SEED) -> dict[str, tuple[float, float, float]]:
+    """{defect: (cutoff, precision, recall)}: the cutoff of the highest F1 on composed pairs, of equal ones the nearest to 0.5.
+
+    A vote pattern that the data doesn't have counts as that of the nearest one that it has, by differing votes.
+    """
+    labelled = [(votes(q, a, p), d) for q, a, p, d in composed_pairs(count, random.Random(seed))]
+    out = {}
+    for d, known in posteriors.items():
+        if not known:
+            continue
+        scores = []
+        for v, label in labelled:
+            pattern = tuple(v[d])
+            nearest = pattern if pattern in known else min(known, key=lambda k: (sum(x != y for x, y in zip(k, pattern, strict=True)), k))
+            scores.append((known[nearest], label == d))
+        best = None
+        for cut in CUTOFFS:
+            hit = sum(s >= cut and y for s, y in scores)
+            said, true = sum(s >= cut for s, _ in scores), sum(y for _, y in scores)
+            f1 = 2 * hit / max(1, said + true)
+            if best is None or (round(f1, 4), -abs(cut - 0.5)) > best[0]:
+                best = ((round(f1, 4), -abs(cut - 0.5)), (cut, hit / max(1, said), hit / max(1, true)))
+        out[d] = best[1]
+    return out
+
+
+def defects(pairs: DataFrame, cutoff: float | None = None) -> DataFrame:
     """pairs(key, question, answer, answerable, passage) -> (key, defect, posterior), a row for each defect of each pair.
 
     answerable: false where no answer is right, so that an empty or refusing one is none of the defects; null counts as
@@ -164,11 +194,13 @@ def defects(pairs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     voted = spool(clean.mapInPandas(run, "key string, answerable boolean, passage string, " + ", ".join(f"{d} array<int>" for d in DEFECTS)))
     long = voted.select("key", "answerable", "passage", F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("votes")) for d in DEFECTS])).alias("x")).select("key", "answerable", "passage", "x.*")
     counts = long.groupBy("defect", "votes").count().collect()  # at most 6 * 27 rows
-    posteriors = [(d, list(p), g) for d in DEFECTS for p, g in label_model([(tuple(r.votes), r["count"]) for r in counts if r.defect == d]).items()]
-    if not posteriors:
+    learned = {d: label_model([(tuple(r.votes), r["count"]) for r in counts if r.defect == d]) for d in DEFECTS}
+    if not any(learned.values()):
         return long.select("key", "defect", F.lit(0.0).alias("posterior")).limit(0)
+    cut = {d: c for d, (c, _, _) in validated_cutoffs(learned).items()} if cutoff is None else dict.fromkeys(DEFECTS, cutoff)
+    posteriors = [(d, list(p), g) for d, by in learned.items() for p, g in by.items() if g >= cut[d]]
     known = pairs.sparkSession.createDataFrame(posteriors, "defect string, votes array<int>, posterior double")
-    found = long.join(F.broadcast(known), ["defect", "votes"]).where(F.col("posterior") >= cutoff)
+    found = long.join(F.broadcast(known), ["defect", "votes"])  # at most 6 * 27 rows
     found = found.where(F.col("answerable") | ~F.col("defect").isin("empty", "refusal")).where((F.col("defect") != "dependent") | (F.col("passage") != "no"))
     return found.select("key", "defect", "posterior")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import batch_linkage, markup, mixing, near_copies, neighbors, overlap_join, packing, pair_defects, personal_data, splitting, truncation
+from quillspan.llm import batch_linkage, markup, mixing, near_copies, neighbors, overlap_join, packing, pair_defects, pair_samples, personal_data, splitting, truncation
 
 
 def sets(texts):
@@ -253,6 +253,17 @@ def test_names_without_a_listed_part_are_found():
         assert personal_data.found_in(text, segmenter, model) == []
 
 
+def test_cutoffs_hold_on_other_pairs(spark):
+    made = pair_samples.composed_pairs(1500, random.Random(404))
+    rows = [(f"k{i}", q, a, None, p) for i, (q, a, p, _) in enumerate(made)]
+    df = spark.createDataFrame(rows, "key string, question string, answer string, answerable boolean, passage string")
+    found = {r.key: r.defect for r in pair_defects.single_defect(pair_defects.defects(df)).collect()}
+    for d in pair_defects.DEFECTS:
+        true = {f"k{i}" for i, x in enumerate(made) if x[3] == d}
+        said = {k for k, x in found.items() if x == d}
+        assert len(true & said) >= 0.85 * len(true) and len(true & said) >= 0.85 * len(said), (d, len(true), len(said), len(true & said))
+
+
 def test_all_name_parts_count(spark):
     parts = spark.createDataFrame([(f"F{i}", "family") for i in range(30)] + [(f"G{i}", "given") for i in range(3)], "name_part string, part_kind string")
     given, family = personal_data.name_parts(parts)
