@@ -71,7 +71,6 @@ def split_invariants(s, d):
         exact = F.bool_and(F.expr("substring(text, start_char + 1, end_char - start_char) = content")).alias("exact")
         spans = F.array_sort(F.collect_list(F.struct("start_char", "end_char", "chunk_index")))
         by = cut.groupBy("document_id").agg(exact, F.first("text").alias("text"), spans.alias("x"))
-        between = F.transform(F.sequence(F.lit(1), F.size("x")), lambda i: F.expr("1"))  # noqa: F841
         gap = F.expr("transform(x, (s, i) -> substring(text, if(i = 0, 0, x[i - 1].end_char) + 1, greatest(0, s.start_char - if(i = 0, 0, x[i - 1].end_char))))")
         tail = F.expr("substring(text, x[size(x) - 1].end_char + 1)")
         whole = (F.length(F.regexp_replace(F.concat(F.array_join(gap, ""), tail), r"\s|\p{Z}|[\x1c-\x1f\x85]", "")) == 0).alias("whole")
@@ -140,7 +139,7 @@ def chunk_ids(s, d):
 
 # Guards
 
-_MARKS = "|".join(rf"[{c}]{{2,}}" for c in ("-", "_", "~", "*", "#", "=", "!", "?", "/", ":", "`", "|", "+", "<", ">", "(", ")", "{", "}", "@", "%", "&", ",", ";", "\\\\", "\\[", "\\]", '"', "$", "''", "^"[0:0] or "•"))
+_MARKS = "|".join(rf"[{c}]{{2,}}" for c in ("-", "_", "~", "*", "#", "=", "!", "?", "/", ":", "`", "|", "+", "<", ">", "(", ")", "{", "}", "@", "%", "&", ",", ";", "\\\\", "\\[", "\\]", '"', "$", "''", "•"))
 _INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{feff}]"
 _WRAP = r"regexp_replace(regexp_replace(%s, '(\w)[ \t]*[\r\n][ \t]*(\w)', '\1 \2', 'g'), '(\w)[ \t]*[\r\n][ \t]*(\w)', '\1 \2', 'g')"
 

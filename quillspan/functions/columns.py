@@ -30,13 +30,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """The vector over its norm, which counts as 1e-12 at least."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(1e-12)))
+    # The norm goes along as an array, since what stands inside of a lambda is computed for each element.
+    return F.zip_with(a, F.array_repeat(F.greatest(norm(a), F.lit(1e-12)), F.size(a)), lambda x, n: x.cast("double") / n)
 
 
 def quantize(a: Column) -> Column:
     """Signed 8-bit scalar quantization by the largest magnitude; zero vectors stay zero."""
-    top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
-    return F.transform(a, lambda x: F.coalesce(F.round(F.try_divide(x.cast("double") * 127, top)), F.lit(0.0)).cast("int"))
+    top = F.array_repeat(F.array_max(F.transform(a, lambda x: F.abs(x.cast("double")))), F.size(a))
+    return F.zip_with(a, top, lambda x, t: F.coalesce(F.round(F.try_divide(x.cast("double") * 127, t)), F.lit(0.0)).cast("int"))
 
 
 def blend(query: Column, hypothetical: Column, share: float = 0.3) -> Column:

@@ -14,6 +14,8 @@ from quillspan.plans.once import once
 from quillspan.plans.registry import Pipeline, register, resolve, standard
 from quillspan.sources import loaders
 from quillspan.sources.store import Store
+from quillspan.streaming.ingest import once_within, upserted
+from quillspan.streaming.windows import windowed_counts
 
 
 def rows(df):
@@ -258,6 +260,8 @@ def test_routing(spark):
     assert v.select(routing.variants(F.col("q"), F.col("r"))).first()[0] == ["How does the BM25 ranking function work?"]
     assert routing.select_pipeline({}) == ("naive", "no flag is set") and routing.select_pipeline({"crag_enabled": True})[0] == "crag"
     assert routing.select_stores(["graph", "vector"], {"vector", "graph"}, {"graph"}) == ["vector"]
+    assert routing.after_judge(True, False, 3, 2) == "accept" and routing.after_judge(False, True, 3, 2) == "abstain" and routing.after_judge(False, True, 1, 2) == "retry"
+    assert routing.within_budget(3, 0.1, 4, 0.5) and not routing.within_budget(4, 0.1, 4, None) and answers.embedding_strategy(False, True, False) == "early"
     assert routing.after_hop(False, "Who owns it?", ["who owns it"], 1, 3) == "collect" and routing.after_grade("INCORRECT", 0, 1, False) == "rewrite"
     e = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "route string, v array<double>")
     near = routing.semantic_route(spark.createDataFrame([(1, [0.9, 0.1]), (2, [0.7, 0.7])], "qid long, v array<double>"), e, 0.9)
@@ -403,3 +407,20 @@ def test_answers_and_tenancy(spark):
     with pytest.raises(ValueError):
         where_sql({"a; drop": 1})
     assert answers.document_windows(10, 4) == [(0, 4), (3, 7), (6, 10)] and answers.document_windows(0, 4) == []
+
+
+def test_streams(spark, tmp_path):
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, id string, created_at timestamp"
+    at = "timestamp'2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id as int) * 7, 0)"
+    events = spark.range(60).selectExpr("id as event_id", f"{at} as ts", "id % 3 as user_id", "concat('t', id % 2) as event_type", "id * 0.5D as value", "cast(id % 20 as string) as id", f"{at} as created_at")
+    events.coalesce(3).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = windowed_counts(stream())
+    out.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(rows(spark.table("windowed"))) == sorted(rows(windowed_counts(spark.read.parquet(str(tmp_path / "in")))))
+    store = Store(spark, str(tmp_path / "store"), "id", "id string, event_id long, created_at timestamp")
+    upserted(stream().select("id", "event_id", "created_at"), store, str(tmp_path / "cp")).awaitTermination()
+    assert {r.id: r.event_id for r in store.rows().collect()} == {str(i): 40 + i for i in range(20)}
+    first = once_within(stream(), "id", late="1 day").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
+    first.awaitTermination()
+    assert spark.table("firsts").count() == 20 and once_within(spark.read.parquet(str(tmp_path / "in")), "id").count() == 20
