@@ -10,7 +10,6 @@ labelled blocks: headings, lists, code and formulas are kept as structure.
 from __future__ import annotations
 
 import html
-import math
 import random
 import re
 from collections.abc import Iterator
