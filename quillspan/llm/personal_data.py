@@ -108,11 +108,8 @@ class Segmenter:
         self.known = given | family
 
     def context(self, text: str, a: int, b: int) -> list[str]:
-        before = text[max(0, a - 40) : a]
-        after = text[b : b + 30]
-        lw, rw = _STOP_CONTEXT.findall(before), _STOP_CONTEXT.findall(after)
-        left = [w.lower() for w in lw[-2:]]
-        right = [w.lower() for w in rw[:2]]
+        before, after = text[max(0, a - 40) : a], text[b : b + 30]
+        left, right = _STOP_CONTEXT.findall(before.lower())[-2:], _STOP_CONTEXT.findall(after.lower())[:2]
         return [f"l1={left[-1] if left else ''}", f"l2={'_'.join(left)}", f"r1={right[0] if right else ''}", f"lc={before.rstrip()[-1:]}", f"rc={after.lstrip()[:1]}", f"r={'_'.join(right)}"]
 
     def candidates(self, text: str) -> list[tuple[int, int, str, list[str]]]:
@@ -185,24 +182,25 @@ class Segmenter:
         low = w.lower(), v.lower()
         if not (t and u):
             f += [f"w={low[0]}", f"v={low[1]}", f"{'function' if low[0] in _FUNCTION or low[1] in _FUNCTION else 'content'}|{shapes}"]
+        around = self.context(text, a, b)
         if not (t or u):
             f += ["unlisted", f"unlisted|{shapes}|{gap}"]
-            f += [f"unlisted|{gap}|{x}" for x in self.context(text, a, b)]
-        f += [f"{x}|{one}|{two}" for x in self.context(text, a, b)[:3]] + self.context(text, a, b)
+            f += [f"unlisted|{gap}|{x}" for x in around]
+        f += [f"{x}|{one}|{two}" for x in around[:3]] + around
         nxt = _NAME_WORD.match(text, b + 1) if text[b : b + 1] == " " else None
         f.append("next=" + (shape(nxt.group()) if nxt else "none"))
         return (a, b, "NAME", f)
 
 
 class Model:
-    """Weights of (kind, feature); a segment's score is their sum."""
+    """Weights of features by kind; a segment's score is their sum."""
 
     def __init__(self) -> None:
-        self.w: dict[tuple[str, str], float] = {}
+        self.w: dict[str, dict[str, float]] = {k: {} for k in KINDS}
 
     def score(self, kind: str, features: list[str]) -> float:
-        get = self.w.get
-        return sum(get((kind, f), 0.0) for f in features)
+        own = self.w[kind]
+        return sum([own[f] for f in features if f in own])
 
     def decode(self, cands: list[tuple[int, int, str, list[str]]]) -> list[tuple[int, int, str]]:
         """The best disjoint segments: best[i] is the best score of the text up to the end of candidate i."""
@@ -253,7 +251,7 @@ class Model:
 
     def train(self, texts: list[tuple[list[tuple[int, int, str, list[str]]], set[tuple[int, int, str]]]], passes: int, rng: random.Random) -> None:
         """Adagrad on the conditional log-likelihood."""
-        norm: dict[tuple[str, str], float] = {}
+        norm: dict[str, dict[str, float]] = {k: {} for k in KINDS}
         for _ in range(passes):
             rng.shuffle(texts)
             for cands, gold in texts:
@@ -261,10 +259,10 @@ class Model:
                     g = float((a, b, k) in gold) - p
                     if abs(g) < 1e-4:
                         continue
+                    seen, own = norm[k], self.w[k]
                     for x in f:
-                        key = (k, x)
-                        norm[key] = norm.get(key, 1e-2) + g * g
-                        self.w[key] = self.w.get(key, 0.0) + 0.25 * g / math.sqrt(norm[key])
+                        seen[x] = seen.get(x, 1e-2) + g * g
+                        own[x] = own.get(x, 0.0) + 0.25 * g / math.sqrt(seen[x])
 
 
 def training_texts(given: list[str], family: list[str], count: int, rng: random.Random) -> list[tuple[str, set[tuple[int, int, str]]]]:
