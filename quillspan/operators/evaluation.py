@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -131,6 +131,20 @@ def dataset_stats(cases: DataFrame) -> DataFrame:
         F.count_if(unanswerable).alias("unanswerable"), F.countDistinct("question").alias("questions"))
 
 
+def sliced(cases: DataFrame, axes: Mapping[str, str]) -> DataFrame:
+    """The cases whose metadata has these values; of a value with commas one part is enough."""
+    out = cases
+    for axis, value in axes.items():
+        parts = F.transform(F.split(F.coalesce(F.try_element_at("metadata", F.lit(axis)), F.lit("")), ","), lambda x: F.trim(x))
+        out = out.where(F.array_contains(parts, value))
+    return out
+
+
+def series(results: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+    """results(key, one column a metric) -> (metric, key, value), the form that runs are compared in; null values have no row."""
+    return results.unpivot(key, metrics, "metric", "value").where("value is not null").select("metric", F.col(key).alias("key"), F.col("value").cast("double").alias("value"))
+
+
 def sampled(cases: DataFrame, n: int, seed: int = 17, key: str = "id") -> DataFrame:
     """n rows without replacement, the same for the same seed: those with the smallest seeded hashes of their key."""
     return cases.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)

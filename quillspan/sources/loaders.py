@@ -1,4 +1,4 @@
-"""Documents from files: text, Markdown, JSON, JSON lines, CSV, HTML, and folders of them.
+"""Documents from files: text, Markdown, JSON, JSON lines, CSV, HTML, Word, and folders of them.
 
 Every loader returns documents(id, content, source, title, metadata map<string,string>, checksum, lossy, error). Files are
 listed and read by Spark, so that a folder is read in parallel; a file that can't be read or parsed gives a row with
@@ -11,8 +11,10 @@ import csv
 import io
 import json
 import re
+import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -167,6 +169,36 @@ def _html(text: str, **_) -> Iterator[dict]:
     yield {"content": content, "title": (page.title or page.heading).strip() or None, "metadata": page.meta}
 
 
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def _said(node) -> str:
+    """The text of a Word paragraph: runs, tabs and breaks in order."""
+    return "".join({"t": x.text or "", "tab": "\t", "br": "\n", "cr": "\n"}.get(x.tag.removeprefix(_W), "") for x in node.iter())
+
+
+def table_text(rows: list[list[str]]) -> str:
+    """Rows of cells between bars; line breaks and bars within cells don't break the table."""
+    return "\n".join("| " + " | ".join(c.replace("|", "\\|").replace("\n", " ").strip() for c in r) + " |" for r in rows)
+
+
+def _word(raw: bytes) -> Iterator[dict]:
+    """Paragraphs and tables of a Word document in order; headings of level n are lines with n marks of Markdown."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as packed:
+        body = ElementTree.fromstring(packed.read("word/document.xml")).find(f"{_W}body")
+        core = ElementTree.fromstring(packed.read("docProps/core.xml")) if "docProps/core.xml" in packed.namelist() else None
+    parts = []
+    for node in body if body is not None else []:
+        if node.tag == f"{_W}tbl":
+            parts.append(table_text([["\n".join(_said(p) for p in cell.iter(f"{_W}p")) for cell in row.iter(f"{_W}tc")] for row in node.iter(f"{_W}tr")]))
+        elif node.tag == f"{_W}p":
+            style = node.find(f"{_W}pPr/{_W}pStyle")
+            level = re.fullmatch(r"(?i)heading\s*([1-6])", style.get(f"{_W}val", "")) if style is not None else None
+            parts.append("#" * int(level.group(1)) + " " + _said(node) if level else _said(node))
+    meta = {x.tag.rpartition("}")[2]: x.text for x in core if x.text} if core is not None else {}
+    yield {"content": collapsed("\n\n".join(parts)), "title": meta.pop("title", None), "metadata": meta}
+
+
 LOADERS: dict[str, Callable[..., Iterator[dict]]] = {"txt": _text, "md": _markdown, "markdown": _markdown, "json": _json, "jsonl": _json_lines, "ndjson": _json_lines, "csv": _csv, "tsv": _csv, "html": _html, "htm": _html}
 
 
@@ -194,6 +226,12 @@ def load(spark: SparkSession, path: str, include: str = "*", exclude: str | None
                 if size > largest:
                     out.append(row | {"error": f"{size} bytes"})
                     continue
+                if path.lower().endswith(".docx"):
+                    try:
+                        out += [row | made for made in _word(raw)]
+                    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+                        out.append(row | {"error": str(e)})
+                    continue
                 if b"\0" in raw[:8000]:
                     out.append(row | {"error": "binary"})
                     continue

@@ -95,6 +95,11 @@ class Store:
         return n
 
 
+def append_log(events: DataFrame, path: str) -> None:
+    """Append events as JSON lines, by day of their `at`; what was written is never changed."""
+    events.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").json(path)
+
+
 # Fixed shapes of the stored tables.
 DOCUMENTS = "id string, content string, source string, title string, checksum string, tenant_id string, metadata map<string,string>, created_at timestamp"
 CHUNKS = "chunk_id string, document_id string, content string, chunk_index int, start_char int, end_char int, chunk_level int, parent_id string, modality string, token_count int, tenant_id string, metadata map<string,string>, embedding array<float>, created_at timestamp"

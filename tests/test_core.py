@@ -1,4 +1,5 @@
 import itertools
+import zipfile
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from quillspan.operators import answers, context, evaluation, graph, guards, hie
 from quillspan.plans.once import once
 from quillspan.plans.registry import Pipeline, register, resolve, standard
 from quillspan.sources import loaders
-from quillspan.sources.store import Store
+from quillspan.sources.store import Store, append_log
 from quillspan.streaming.ingest import once_within, upserted
 from quillspan.streaming.windows import windowed_counts
 
@@ -313,6 +314,31 @@ def test_loaders(spark, tmp_path):
     assert got["f.txt"].lossy and got["g.txt"].error == "binary" and ".hidden.txt" not in got and got["f.txt"].tenant_id == "t"
 
 
+def test_word_files(spark, tmp_path):
+    w = "xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'"
+    para = lambda t, style="": f"<w:p>{style}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    table_ = "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{para(c)}</w:tc>" for c in r) + "</w:tr>" for r in (("a", "b"), ("1", "x|y"))) + "</w:tbl>"
+    body = f"<w:document {w}><w:body>{para('Top', '<w:pPr><w:pStyle w:val=' + chr(34) + 'Heading2' + chr(34) + '/></w:pPr>')}{para('Some text.')}{table_}</w:body></w:document>"
+    with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+        z.writestr("docProps/core.xml", "<c xmlns:d='u'><d:title>Doc</d:title><d:creator>Q</d:creator></c>")
+    (tmp_path / "bad.docx").write_bytes(b"nothing")
+    got = {r.source.rsplit("/", 1)[1]: r for r in loaders.load(spark, str(tmp_path)).collect()}
+    assert got["x.docx"].content == "## Top\n\nSome text.\n\n| a | b |\n| 1 | x\\|y |" and got["x.docx"].title == "Doc" and got["x.docx"].metadata == {"creator": "Q"}
+    assert got["bad.docx"].error
+
+
+def test_slices_series_and_logs(spark, tmp_path):
+    cases = spark.createDataFrame([("a", {"tags": "x, y", "lang": "en"}), ("b", {"tags": "y"}), ("c", None)], "id string, metadata map<string,string>")
+    assert [r.id for r in evaluation.sliced(cases, {"tags": "y", "lang": "en"}).collect()] == ["a"]
+    results = spark.createDataFrame([("q", 0.5, None)], "qid string, recall double, ndcg double")
+    assert rows(evaluation.series(results, "qid", ["recall", "ndcg"])) == [("recall", "q", 0.5)]
+    log = spark.sql("select timestamp'2026-01-01 10:00:00' as at, 'load' as event")
+    append_log(log, str(tmp_path / "log"))
+    append_log(log, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
 def test_stored_state(spark):
     docs = spark.createDataFrame([("a", "x", "Ab" * 50), ("b", "y", None), ("c", "x", "Cd" * 50), ("d", None, "\x01\x02\x03\x04")], "id string, checksum string, text string")
     old = spark.createDataFrame([("a", "X"), ("e", "q")], "id string, checksum string")
