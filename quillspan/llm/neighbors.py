@@ -168,11 +168,17 @@ class Best:
         self.sim[rows], self.pos[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(pos, order, 1)
 
 
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix, by way of its flat form, which is several times faster."""
+    flat = np.flatnonzero(mask)
+    return np.divmod(flat, mask.shape[1])
+
+
 def search(q: np.ndarray, qv: np.ndarray, q_rank: np.ndarray, best: Best, pv: np.ndarray, p: np.ndarray, rank: np.ndarray, tree: Tree, boxes: tuple[np.ndarray, np.ndarray], factor: float) -> None:
     """Search queries (projections q, vectors qv) in one cell; `rank` orders its vectors by id, `q_rank` is the query's own or -1."""
     far = box_distances(q, *boxes)
     order = np.argsort(far, 1, kind="stable")
-    wave, begin = 1, 0
+    wave, begin, served, missed = 1, 0, 0, 0
     active = np.arange(len(q))
     while begin < far.shape[1] and len(active):
         cols = order[active, begin : begin + wave]
@@ -188,10 +194,11 @@ def search(q: np.ndarray, qv: np.ndarray, q_rank: np.ndarray, best: Best, pv: np
             own, members = rows[a:b], tree.leaves[leaf[a]]
             if not len(members):
                 continue
-            if np.isfinite(least[own]).all():
-                # Projected distances first, where they leave little to verify.
+            if np.isfinite(least[own]).all() and missed <= 16 + served:
+                # Projected distances first, as long as they leave little to verify.
                 d = (q[own] ** 2).sum(1)[:, None] + (p[members] ** 2).sum(1)[None] - 2 * q[own] @ p[members].T
-                i, j = np.nonzero(d <= (factor * (2 - 2 * least[own]))[:, None])
+                i, j = places(d <= (factor * (2 - 2 * least[own]))[:, None])
+                served, missed = served + (8 * len(i) < d.size), missed + (8 * len(i) >= d.size)
                 if 8 * len(i) < d.size:
                     i, j = own[i], members[j]
                     sim = np.einsum("ij,ij->i", qv[i], pv[j])
@@ -204,7 +211,7 @@ def search(q: np.ndarray, qv: np.ndarray, q_rank: np.ndarray, best: Best, pv: np
             k = best.sim.shape[1]
             if sim.shape[1] > 2 * k and not np.isfinite(least[own]).all():
                 sim = np.where(sim >= np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k, None], sim, -np.inf)
-            i, j = np.nonzero((sim >= least[own][:, None]) & (sim > -np.inf))
+            i, j = places(sim >= np.maximum(least[own], np.finfo(np.float32).min)[:, None])
             found.append((own[i], rank[members[j]], sim[i, j]))
         if found:
             best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -341,8 +348,8 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
             out.append(hits(part["qid"].to_numpy(), best, ids))
         return pd.concat(out, ignore_index=True)
 
-    # A cell that many queries are sent to is visited in slices of about four times its size, each beside the cell's vectors.
-    load = sent.groupBy(F.col("to").alias("cell")).agg(F.ceil(F.count("*") / (4 * cell)).cast("int").alias("slices"))
+    # A cell that many queries are sent to is visited in slices of about twice its size, each beside the cell's vectors.
+    load = sent.groupBy(F.col("to").alias("cell")).agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("slices"))
     load = F.broadcast(spool(load))  # a row for each cell: at most 2 * MOST_SAMPLE / A_CELL
     visits = homed.join(load, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("vid", "v", "cell", "slice")
     guests = sent.join(load.withColumnRenamed("cell", "to"), "to").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("slices")).cast("int")).drop("slices")
