@@ -7,11 +7,18 @@ each wave's vectors are verified by true distance, and a query stops when the ne
 current k-th distance would have been met before with probability SURE (the chi-square stopping test). Queries whose
 ball leaves their cell are sent on to the cells that it reaches and are searched there in the same way.
 
+With a high floor most neighbours are found for less by several trees, each over projections of its own. A vector goes into
+every cell of a tree in which a vector at the floor's distance would lie with a probability of at least a cutoff (projected
+differences are normal), and vectors that share a cell are compared exactly. Trees and cutoff are the cheapest that lose at
+most LOST of sample vectors' neighbours at the floor. A vector whose cells hold less than SURE of its neighbours takes smaller
+cutoffs, and one for which these don't do either is searched in waves and sent on as above.
+
 Between tasks vectors travel with 16 bits a component, which leaves similarities exact to about 0.00002.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -38,6 +45,12 @@ SURE = 0.95
 SENT = 0.85
 #: Queries taken at once, which bounds a task's memory.
 BLOCK = 8_192
+#: Share of the neighbours at the floor that the trees may lose, trees at most, cutoffs to choose from, sample vectors to choose by.
+LOST, MOST_TREES, CUTOFFS, TRIED = 0.002, 64, (0.05, 0.1, 0.15, 0.2, 0.25, 0.3), 2_000
+#: Copies of a vector that are moved at once, about, which bounds the shuffle files; comparisons that cost as much as one copy.
+ROUND, MOVED = 2, 5_000
+#: Vectors of a side of a block of comparisons.
+SIDE = 768
 #: Rows of a side table that is sent to all executors at most.
 FEW = 1_000_000
 SCALE = 32_767
@@ -128,6 +141,47 @@ def cells_reached(q: np.ndarray, bound: np.ndarray, tree: Tree, boxes: list[tupl
     raise AssertionError
 
 
+def normal_below(x: np.ndarray) -> np.ndarray:
+    """The standard normal distribution function, to about 1e-7 (Abramowitz and Stegun 7.1.26)."""
+    y = np.abs(x) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * y)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-y * y) / 2
+    return np.where(x >= 0, 1 - tail, tail)
+
+
+def cells_likely(q: np.ndarray, apart: float, tree: Tree, boxes: list[tuple[np.ndarray, np.ndarray]], cutoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, cell, probability): the cells in which a vector at the distance `apart` lies with a probability of at least `cutoff`."""
+    rows, nodes, chance = np.arange(len(q)), np.zeros(len(q), np.int64), np.ones(len(q))
+    for level in range(tree.depth):
+        low, high = boxes[level]
+        node = 2**level - 1 + nodes
+        d, x = tree.dim[node], q[rows, tree.dim[node]]
+        a, b, c = (normal_below((edge - x) / apart) for edge in (low[nodes, d], tree.value[node], high[nodes, d]))
+        b = np.clip(b, a, c)
+        both = np.stack([chance * (b - a), chance * (c - b)], 1) / np.maximum(c - a, 1e-12)[:, None]
+        i, side = np.nonzero(both >= cutoff)
+        rows, nodes, chance = rows[i], 2 * nodes[i] + side, both[i, side]
+    return rows, nodes, chance
+
+
+def trees_for(v: np.ndarray, least: float, tree: Tree, axes: np.ndarray, cell: float) -> tuple[int, float, float]:
+    """(trees, cutoff, copies in a tree) that cost least for sample vectors v; no trees if MOST_TREES would lose more than LOST."""
+    if least <= 0 or v.shape[1] < 2:
+        return 0, 0.0, 0.0
+    side = np.random.default_rng(SEED).standard_normal(v.shape)
+    side -= (side * v).sum(1, keepdims=True) * v
+    other = least * v + math.sqrt(max(0.0, 1 - least * least)) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    apart, boxes, found = math.sqrt(max(2 - 2 * least, 1e-6)), tree.regions(DIMS), []
+    for cutoff in CUTOFFS:
+        (i, c, _), (j, d, _) = (cells_likely((x @ axes).astype(np.float32), apart, tree, boxes, cutoff) for x in (v, other))
+        met = len(np.unique(np.intersect1d(i * 2**tree.depth + c, j * 2**tree.depth + d) >> tree.depth)) / len(v)
+        trees = 1 if met > 1 - LOST else math.ceil(math.log(LOST) / math.log1p(-met)) if met > 0 else 0
+        if met > 0 and trees <= MOST_TREES:
+            copies = len(i) / len(v)
+            found.append((trees * copies * (MOVED + copies * cell / 2), trees, cutoff, copies))
+    return min(found)[1:] if found else (0, 0.0, 0.0)
+
+
 def box_distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distances of points to boxes."""
     out = np.zeros((len(q), len(low)), np.float32)
@@ -222,8 +276,38 @@ def search(q: np.ndarray, qv: np.ndarray, q_rank: np.ndarray, best: Best, pv: np
             active = active[still]
 
 
-def directions(width: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((width, DIMS)).astype(np.float32)
+def all_pairs(v: np.ndarray, k: int, least: float) -> Best:
+    """The k best of each vector among all of them, by matrix products of blocks; a pair of blocks is multiplied once."""
+    best, waiting, floor = Best(len(v), k, least), [], np.float32(least)
+
+    def flush() -> None:
+        if waiting:
+            best.add(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+            waiting.clear()
+
+    for a in range(0, len(v), SIDE):
+        for b in range(a, len(v), SIDE):
+            sim = v[a : a + SIDE] @ v[b : b + SIDE].T
+            if a == b:
+                np.fill_diagonal(sim, -np.inf)
+            i, j = places(sim >= floor)
+            if len(i) <= 4 * k * SIDE:
+                waiting += [(a + i, b + j, sim[i, j]), (b + j, a + i, sim[i, j])][: 1 + (a < b)]
+            else:  # where much is similar, only what can be among a vector's k best
+                for m, x, y in ((sim, a, b), (np.ascontiguousarray(sim.T), b, a))[: 1 + (a < b)]:
+                    own = np.maximum(best.sim[x : x + SIDE, -1], floor)
+                    if m.shape[1] > k:
+                        own = np.maximum(own, np.partition(m, m.shape[1] - k, axis=1)[:, m.shape[1] - k])
+                    i, j = places(m >= own[:, None])
+                    waiting.append((x + i, y + j, m[i, j]))
+            if sum(len(w[0]) for w in waiting) > 4 * k * SIDE:
+                flush()
+    flush()
+    return best
+
+
+def directions(width: int, tree: int = 0) -> np.ndarray:
+    return np.random.default_rng(SEED + tree).standard_normal((width, DIMS)).astype(np.float32)
 
 
 def vectors_of(column: pd.Series) -> np.ndarray:
@@ -276,23 +360,58 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
     share = min(1.0, 1.2 * sample / n)
     drawn = reps.where(F.pmod(F.xxhash64("vid", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample).select("v").toPandas()
     axes = directions(width)
-    top = Tree(vectors_of(drawn["v"]) @ axes if len(drawn) else np.zeros((1, DIMS), np.float32), depth)
-    shared = spark.sparkContext.broadcast((axes, top.depth, top.dim, top.value, top.regions(DIMS)))
+    points = vectors_of(drawn["v"]) if len(drawn) else np.zeros((1, width), np.float32)
+    top = Tree(points @ axes, depth)
+    trees, cutoff, spread = trees_for(points[:: max(1, len(points) // TRIED)], least, top, axes, n / 2**depth)
+    forest = [(axes, top), *((x, Tree(points @ x, depth)) for x in (directions(width, t) for t in range(1, trees)))]
+    shared = spark.sparkContext.broadcast([(x, t.depth, t.dim, t.value) for x, t in forest])
     factor = chi_square_quantile(SURE, DIMS)
     sending = np.array([0.0, *(chi_square_quantile(SENT, m) for m in range(1, DIMS + 1))], np.float32)
+    apart = math.sqrt(max(2 - 2 * least, 1e-6))
 
-    def upper() -> Tree:
+    def upper(tree: int = 0) -> Tree:
         t = Tree.__new__(Tree)
-        _, t.depth, t.dim, t.value, _ = shared.value
+        _, t.depth, t.dim, t.value = shared.value[tree]
         return t
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, axes = upper(), shared.value[0]
+        """The cell of each vector in the first tree, its cells `at` in all trees, and whether it has to be searched besides."""
+        each = [(shared.value[t][0], upper(t), upper(t).regions(DIMS)) for t in range(max(1, trees))]
         for f in frames:
-            if len(f):
-                yield f.assign(cell=t.place(vectors_of(f["v"]) @ axes))
-
-    homed = reps.mapInPandas(place, "vid bigint, v binary, cell int")
+            if not len(f):
+                continue
+            v = vectors_of(f["v"])
+            cell = each[0][1].place(v @ each[0][0])
+            left, rows, at = np.arange(len(f)), [], []
+            for c in (cutoff, cutoff / 4, cutoff / 16) if trees else ():
+                missed, i_new, at_new = np.ones(len(left)), [], []
+                for t, (axes, tree, boxes) in enumerate(each):
+                    i, to, chance = cells_likely(v[left] @ axes, apart, tree, boxes, c)
+                    missed *= np.maximum(1 - np.bincount(i, chance, len(left)), 0)
+                    i_new.append(i)
+                    at_new.append(t * 2**tree.depth + to)
+                done = missed <= 1 - SURE
+                i, to = np.concatenate(i_new), np.concatenate(at_new)
+                rows.append(left[i[done[i]]])
+                at.append(to[done[i]])
+                left = left[~done]
+                if not len(left):
+                    break
+            if trees and len(left):  # the others are met at home by those that are sure
+                for t, (axes, tree, _) in enumerate(each):
+                    rows.append(left)
+                    at.append(t * 2**tree.depth + tree.place(v[left] @ axes))
+            rows, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, at))
+            by = np.argsort(rows, kind="stable")
+            edges = np.searchsorted(rows[by], np.arange(1, len(f)))
+            ask = np.zeros(len(f), bool)
+            ask[left] = True
+            yield f.assign(cell=cell, at=np.split(at[by], edges), ask=ask)
+
+    homed = reps.mapInPandas(place, "vid bigint, v binary, cell int, at array<bigint>, ask boolean")
+    asking = n
+    if trees:
+        homed, asking = counted(homed, F.col("ask"))
 
     def local_tree(p: np.ndarray) -> tuple[Tree, tuple[np.ndarray, np.ndarray]]:
         t = Tree(p, max(0, math.ceil(math.log2(max(1, len(p)) / LEAF))))
@@ -305,33 +424,46 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
         return pd.DataFrame({"vid": ids[i], "other": names[best.pos[i, j]], "sim": best.sim[i, j].astype(np.float64)})
 
     def at_home(f: pd.DataFrame) -> pd.DataFrame:
-        """Each vector in its own cell; rows with a cell are those sent on: to that cell, with the bound so far."""
-        axes, boxes_above = shared.value[0], shared.value[4]
+        """Each vector that asks in its own cell; rows with a cell are those sent on: to that cell, with the bound so far."""
+        axes, above = shared.value[0][0], upper()
+        boxes_above = above.regions(DIMS)
         f = f.sort_values("vid", ignore_index=True)
         ids, v = f["vid"].to_numpy(), vectors_of(f["v"])
-        p, here = v @ axes, int(f["cell"].iloc[0])
+        p, here, asks = v @ axes, int(f["cell"].iloc[0]), np.flatnonzero(f["ask"].to_numpy())
         t, boxes = local_tree(p)
-        rank, out = np.arange(len(p)), []
-        for a in range(0, len(p), BLOCK):
-            s = slice(a, min(a + BLOCK, len(p)))
-            best = Best(s.stop - a, k, least)
+        rank, out = np.arange(len(p)), [pd.DataFrame({"vid": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "sim": np.zeros(0), "v": None, "cell": np.zeros(0, np.int64), "bound": np.zeros(0)})]
+        for a in range(0, len(asks), BLOCK):
+            s = asks[a : a + BLOCK]
+            best = Best(len(s), k, least)
             search(p[s], v[s], rank[s], best, v, p, rank, t, boxes, factor)
             out.append(hits(ids[s], best, ids).assign(v=None, cell=-1, bound=0.0))
-            i, c = cells_reached(p[s], best.bound(), upper(), boxes_above, sending)
+            i, c = cells_reached(p[s], best.bound(), above, boxes_above, sending)
             i, c = i[c != here], c[c != here]
             raw = f["v"].to_numpy()[s]
             out.append(pd.DataFrame({"vid": ids[s][i], "other": np.zeros(len(i), np.int64), "sim": 0.0, "v": raw[i], "cell": c, "bound": best.sim[i, -1].astype(np.float64)}))
         return pd.concat(out, ignore_index=True)[["vid", "other", "sim", "v", "cell", "bound"]]
 
-    first = spool(homed.groupBy("cell").applyInPandas(at_home, "vid bigint, other bigint, sim double, v binary, cell int, bound double"))
-    release(spark)
-    sent = first.where("cell >= 0").select(F.col("vid").alias("qid"), F.col("cell").alias("to"), "bound", F.col("v").alias("qv"))
+    def together(f: pd.DataFrame) -> pd.DataFrame:
+        """All vectors of a cell of one of the trees with each other."""
+        f = f.sort_values("vid", ignore_index=True)
+        ids = f["vid"].to_numpy()
+        return hits(ids, all_pairs(vectors_of(f["v"]), k, least), ids)
+
+    parts, began = [], 0
+    while began < trees:
+        ended = min(trees, began + max(1, round(ROUND / spread)))
+        now = (began << depth, (ended << depth) - 1)
+        moved = homed.select("vid", "v", F.explode(F.filter("at", lambda x: x.between(*now))).alias("to"))  # noqa: B023
+        parts.append(spool(moved.groupBy("to").applyInPandas(together, "vid bigint, other bigint, sim double")))
+        del moved
+        release(spark)
+        began = ended
 
     def visited(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"vid": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "sim": np.zeros(0)})
         if not len(left) or not len(right):
             return empty
-        axes = shared.value[0]
+        axes = shared.value[0][0]
         left = left.sort_values("vid", ignore_index=True)
         ids, v = left["vid"].to_numpy(), vectors_of(left["v"])
         p = v @ axes
@@ -348,13 +480,21 @@ def nearest(rows: DataFrame, k: int = K, least: float = 0.9, width: int = 64, ce
             out.append(hits(part["qid"].to_numpy(), best, ids))
         return pd.concat(out, ignore_index=True)
 
-    # A cell that many queries are sent to is visited in slices of about four times its size, each beside the cell's vectors.
-    load = sent.groupBy(F.col("to").alias("cell")).agg(F.ceil(F.count("*") / (4 * cell)).cast("int").alias("slices"))
-    load = F.broadcast(spool(load))  # a row for each cell: at most 2 * MOST_SAMPLE / A_CELL
-    visits = homed.join(load, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("vid", "v", "cell", "slice")
-    guests = sent.join(load.withColumnRenamed("cell", "to"), "to").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("slices")).cast("int")).drop("slices")
-    away = visits.groupBy("cell", "slice").cogroup(guests.groupBy("to", "part")).applyInPandas(visited, "vid bigint, other bigint, sim double")
-    found = first.where("cell < 0").select("vid", "other", "sim").unionByName(away)
+    if asking:
+        homed = homed.select("vid", "v", "cell", "ask")
+        first = spool(homed.groupBy("cell").applyInPandas(at_home, "vid bigint, other bigint, sim double, v binary, cell int, bound double"))
+        release(spark)
+        sent = first.where("cell >= 0").select(F.col("vid").alias("qid"), F.col("cell").alias("to"), "bound", F.col("v").alias("qv"))
+        # A cell that many queries are sent to is visited in slices of about four times its size, each beside the cell's vectors.
+        load = sent.groupBy(F.col("to").alias("cell")).agg(F.ceil(F.count("*") / (4 * cell)).cast("int").alias("slices"))
+        load = F.broadcast(spool(load))  # a row for each cell: at most 2 * MOST_SAMPLE / A_CELL
+        visits = homed.join(load, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("vid", "v", "cell", "slice")
+        guests = sent.join(load.withColumnRenamed("cell", "to"), "to").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("slices")).cast("int")).drop("slices")
+        away = visits.groupBy("cell", "slice").cogroup(guests.groupBy("to", "part")).applyInPandas(visited, "vid bigint, other bigint, sim double")
+        parts += [first.where("cell < 0").select("vid", "other", "sim"), away]
+    found = functools.reduce(DataFrame.unionByName, parts)
+    if trees:
+        found = found.groupBy("vid", "other").agg(F.max("sim").alias("sim"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "other"))).where(F.col("r") <= k).select("vid", "other", "sim")
     best = best.unionByName(some.where("r = 2").select("vid", F.col("vid").alias("other"), F.lit(1.0).alias("sim")))
     # From vectors to keys: each copy of a vector against the k + 1 smallest keys of each found vector.

@@ -192,6 +192,54 @@ def test_every_vector_has_its_ten_nearest(spark, tmp_path):
     assert len(got) == 2000 and len(got & want) >= 0.9 * len(want)
 
 
+def near_pairs(n, seed, away):
+    """Vectors without neighbours, each followed by one at a cosine of about 1 / sqrt(1 + away^2); pairs at 0.9 or more."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n // 2, 64))
+    x = np.stack([x, x + away * rng.standard_normal(x.shape)], 1).reshape(n, 64)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -1)
+    rows = [(f"v{i:05d}", [float(a) for a in v]) for i, v in enumerate(x)]
+    return rows, {(f"v{i:05d}", f"v{j:05d}") for i, j in zip(*np.nonzero(sim >= 0.9), strict=True)}
+
+
+def test_vectors_travel_to_few_cells_of_many(spark, monkeypatch):
+    # In 512 cells, as many as ten million vectors have, each vector used to be sent to 57 others and 6 % of the pairs were lost.
+    rows, want = near_pairs(6000, 12, 0.45)
+    moved, spool = [], neighbors.spool
+
+    def counting(df, *args, **kwargs):
+        out = spool(df, *args, **kwargs)
+        if {"v", "cell"} <= set(out.columns):
+            moved.append(out.select(F.sum(F.size("at")) if "at" in out.columns else F.count_if(F.col("cell") >= 0)).first()[0])
+        return out
+
+    monkeypatch.setattr(neighbors, "spool", counting)
+    monkeypatch.setattr(neighbors, "counted", lambda df, condition=None: (out := counting(df), out.count() if condition is None else out.where(condition).count()))
+    df = spark.createDataFrame(rows, "key string, embedding array<float>")
+    got = {(r.key, r.other) for r in neighbors.nearest(df, cell=12).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) > 2000
+    assert 6000 < sum(moved) < 25 * 6000
+
+
+def test_vectors_that_trees_do_not_cover_are_sent(spark, monkeypatch):
+    rows, want = near_pairs(2000, 13, 0.45)
+    df = spark.createDataFrame(rows, "key string, embedding array<float>")
+    monkeypatch.setattr(neighbors, "trees_for", lambda *_: (1, 0.9, 1.0))
+    got = {(r.key, r.other) for r in neighbors.nearest(df, cell=60).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_all_pairs_keeps_the_best_of_many():
+    x = np.random.default_rng(5).standard_normal(64) + 0.1 * np.random.default_rng(6).standard_normal((2000, 64))
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    best = neighbors.all_pairs(u, 10, 0.9)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -1)
+    assert np.allclose(best.sim, -np.sort(-sim, axis=1)[:, :10], atol=1e-6)
+
+
 def test_markup_held_out():
     chain, right = markup.trained(), 0
     pages = markup.labelled_pages(120, random.Random(77))
