@@ -31,6 +31,62 @@ def test_bm25_edges(spark):
     assert rows(retrieval.bm25(asked, docs.limit(0), 3)) == []
 
 
+def shuffled(spark):
+    """Rows that this session's stages have shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_bm25_keeps_no_pairs_and_agrees_with_brute_force(spark, monkeypatch):
+    import math
+    import random
+
+    rng = random.Random(7)
+    words = ["the", "of", "a"] + [f"w{i}" for i in range(60)]
+    texts = {f"c{i:04}": " ".join(rng.choices(words, weights=[40, 20, 10] + [1] * 60, k=rng.randint(4, 30))) for i in range(1200)}
+    texts |= {f"d{i:04}": texts["c0003"] for i in range(30)}  # ties
+    asks = {q: " ".join(["the", *rng.sample(words, 4), "unheard"]) for q in range(300)} | {300: texts["c0003"], 301: "the"}
+    docs = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
+    asked = spark.createDataFrame(list(asks.items()), "qid long, text string")
+    monkeypatch.setattr(retrieval, "BLOCK", 120)
+    before = shuffled(spark)
+    got = {}
+    for r in retrieval.bm25(asked, docs, 7).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.chunk_id, r.score))
+    assert shuffled(spark) - before < 100_000  # nearly all of the 371,460 pairs share a word
+    bags = {c: t.split() for c, t in texts.items()}
+    n, mean = len(bags), sum(map(len, bags.values())) / len(bags)
+    df = {w: sum(w in b for b in bags.values()) for w in words}
+    for q, text in asks.items():
+        scores = {}
+        for c, b in bags.items():
+            for w in {*text.split()} & {*b}:
+                part = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b.count(w) * 2.5 / (b.count(w) + 1.5 * (0.25 + 0.75 * len(b) / mean))
+                scores[c] = scores.get(c, 0) + part
+        want = sorted(((c, round(x, 6)) for c, x in scores.items()), key=lambda x: (-x[1], x[0]))[:7]
+        assert [c for c, _ in got[q]] == [c for c, _ in want] and [x for _, x in got[q]] == pytest.approx([x for _, x in want], abs=2e-6)
+
+
+def test_bm25_slabs(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [["a"] * (i % 5 + 1) + ["b"] * (i % 3) + ([f"r{i % 50}"] if i % 2 else []) for i in range(400)]
+    asked = pa.table({"qid": [1, 2, 3], "term": [["a", "r7"], ["b"], ["r1", "r3", "a", "b"]], "df": [[400, 8], [266], [8, 8, 400, 266]]})
+    block = retrieval._Block(asked, 400, 4.0, 6)
+
+    def found(cut):
+        best = {}
+        for x in np.array_split(np.arange(400), cut):
+            row = retrieval._postings(pa.array(x), pa.array([texts[i] for i in x]), None)
+            block.search([block.postings(row)], best)
+        return {q: sorted(zip(-s, c, strict=True)) for q, (s, c) in best.items()}
+
+    assert found(1) == found(3) == found(67)
+
+
 def test_dense_skips_unusable_vectors_and_breaks_ties_by_id(spark):
     data = [(3, [1.0, 0.0]), (2, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0]), (7, [0.0, 1.0]), (8, [None, 1.0])]
     v = spark.createDataFrame(data, "chunk_id long, v array<float>")
