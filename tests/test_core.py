@@ -69,6 +69,41 @@ def test_bm25_keeps_no_pairs_and_agrees_with_brute_force(spark, monkeypatch):
         assert [c for c, _ in got[q]] == [c for c, _ in want] and [x for _, x in got[q]] == pytest.approx([x for _, x in want], abs=2e-6)
 
 
+def test_dense_takes_rows_in_steps():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    class Sent:
+        sparkContext = property(lambda self: self)
+        broadcast = staticmethod(lambda x: type("B", (), {"value": x}))
+
+    rng = np.random.default_rng(1)
+    asks, vectors = rng.normal(size=(600, 8)), np.repeat(rng.normal(size=(5000, 8)), 2, 0)  # each vector twice: ties
+    taken = {}
+
+    class Rows:
+        where = select = lambda self, *x: self
+        mapInPandas = lambda self, run, schema: taken.update(run=run)
+
+    questions = type("Q", (), {"toPandas": lambda self: pd.DataFrame({"qid": range(600), "v": list(asks)}), "sparkSession": Sent()})()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(retrieval, "F", type("F", (), {"size": lambda x: np.zeros(1), "exists": lambda x, f: np.zeros(1, bool)}))
+        retrieval._dense_block(questions, Rows(), 5, "")
+    frame = pd.DataFrame({"chunk_id": range(9999, -1, -1), "v": list(vectors)})
+    tracemalloc.start()
+    out = pd.concat(taken["run"](iter([frame])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6  # all products at once: 48 MB, several times
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit(asks) @ unit(vectors).T, 6)
+    for q, own in out.groupby("qid"):
+        want = sorted(zip(-scores[q], frame["chunk_id"], strict=True))[:5]
+        assert sorted(zip(-own["score"], own["chunk_id"], strict=True)) == want
+
+
 def test_bm25_slabs(spark):
     import numpy as np
     import pyarrow as pa
