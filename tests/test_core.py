@@ -454,6 +454,24 @@ def test_ids(spark):
     assert made["year"] == {"gte": 2020} and made["lang"] == {"in": ["de"]} and made["ok"] == {"eq": True} and made["day"]["gte"].year == 2024
 
 
+def test_memberships_are_fitted_once_and_in_many_tasks(spark):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 3))
+    points = spark.createDataFrame([(f"n{i}", v.tolist()) for i, v in enumerate(x)], "node string, x array<double>").select("node", array_to_vector("x").alias("x"))
+    out = hierarchy.memberships(points, 12)
+    assert len(out.inputFiles()) > 3 and "FlatMapGroups" not in out._jdf.queryExecution().toString()  # a table, not the fit again
+    assert out.select("node").distinct().count() == 2000
+    weight, mean, cov = np.array([0.3, 0.7]), x[:2], np.stack([np.eye(3), np.diag([1.0, 2.0, 0.5]) + 0.1])
+    got = hierarchy.densities(hierarchy.squares(x), weight, mean, cov)
+    for j in range(2):
+        y = x - mean[j]
+        want = np.log(weight[j]) - 0.5 * np.einsum("ni,ij,nj->n", y, np.linalg.inv(cov[j]), y) - 0.5 * np.linalg.slogdet(cov[j])[1] - 1.5 * np.log(2 * np.pi)
+        assert got[:, j] == pytest.approx(want, abs=1e-9)
+
+
 def test_hierarchy(spark):
     rng = np.random.default_rng(5)
     centers = rng.standard_normal((6, 3)) * 20
