@@ -104,6 +104,29 @@ def test_dense_takes_rows_in_steps():
         assert sorted(zip(-own["score"], own["chunk_id"], strict=True)) == want
 
 
+#: Queries that fetch lists; none may shuffle a row for each pair of a question and a chunk.
+SEARCHES = ["abstention"]
+
+
+@pytest.fixture(scope="module")
+def common_words(spark, tmp_path_factory):
+    """240 asking documents and 2,000 chunks, which all share a word."""
+    d = str(tmp_path_factory.mktemp("common"))
+    spark.range(240).selectExpr("id * 50 as doc_id", "concat('doc', id) as id", "concat('the guide to w', id % 40) as title", "'the source' as source").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    v = "transform(sequence(1, 64), i -> cast(sin(id * i) as float))"
+    spark.range(2000).selectExpr("concat('c', id) as chunk_id", "timestamp'2026-01-01 00:00:00' as created_at", "concat('The w', id % 40, ' is here. It is the w', id % 7, '.') as content", f"{v} as embedding", "concat('doc', id % 240) as document_id", "cast(id / 240 as int) as chunk_index").coalesce(1).write.parquet(f"{d}/chunks.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_shuffle_no_pairs(spark, common_words, name):
+    from quillspan.catalog import QUERIES
+
+    before = shuffled(spark)
+    assert QUERIES[name](spark, common_words).count() >= 240
+    assert shuffled(spark) - before < 250_000  # of 480,000 pairs
+
+
 def test_bm25_slabs(spark):
     import numpy as np
     import pyarrow as pa
