@@ -105,7 +105,7 @@ def test_dense_takes_rows_in_steps():
 
 
 #: Queries that fetch lists; none may shuffle a row for each pair of a question and a chunk.
-SEARCHES = ["abstention", "bm25_variants"]
+SEARCHES = ["abstention", "bm25_variants", "compression_report"]
 
 
 @pytest.fixture(scope="module")
