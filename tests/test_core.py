@@ -105,7 +105,7 @@ def test_dense_takes_rows_in_steps():
 
 
 #: Queries that fetch lists; none may shuffle a row for each pair of a question and a chunk.
-SEARCHES = ["abstention", "bm25_variants", "compression_report", "fuse_max", "hybrid_rrf", "packed_context", "pipeline_naive", "rerank_overlap", "budget_prefix", "compress_by_sentence", "fuse_relative", "hybrid_compress"]
+SEARCHES = ["abstention", "bm25_variants", "compression_report", "fuse_max", "hybrid_rrf", "packed_context", "pipeline_naive", "rerank_overlap", "budget_prefix", "compress_by_sentence", "fuse_relative", "hybrid_compress", "rendered_passages"]
 
 
 @pytest.fixture(scope="module")
